@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weblore.llm import repeated_lines
+from weblore.llm import encoding_repair, repeated_lines
+from weblore.session import cut
 from weblore.sources.tables import table
 
 
@@ -19,7 +20,24 @@ def p1_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.remove_repeated_lines(pages, repeated_lines.repeated_lines(pages))
 
 
+def _text_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    pages = encoding_repair.scan_tokens(table(spark, folder, "webpage", "page_id", "html"), "webpage", True)
+    return pages.unionByName(encoding_repair.scan_tokens(table(spark, folder, "candidate_pairs", "pair_id", "obj_text"), "candidate_pairs", False))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_repair.garbled_records(_text_tokens(spark, folder)).select("src_table", "rec_id").distinct()
+
+
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    garbled = cut(encoding_repair.garbled_records(_text_tokens(spark, folder)))
+    pages = encoding_repair.restore(table(spark, folder, "webpage", "page_id", "html"), garbled, "webpage", True)
+    return pages.unionByName(encoding_repair.restore(table(spark, folder, "candidate_pairs", "pair_id", "obj_text"), garbled, "candidate_pairs", False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean_pages": p1_clean_pages,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
 }

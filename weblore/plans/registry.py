@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from weblore.plans import nested_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**nested_queries.QUERIES}
+ORACLES: dict[str, str] = {**nested_queries.ORACLES}

@@ -26,6 +26,7 @@ UTF8_MISREADINGS = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp1250", "iso88
 # Fixed values: (written in, read in) of single-byte Cyrillic text.
 BYTE_MISREADINGS = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"))
 MAX_ROUNDS = 3
+MIN_WORDS, MIN_WORD_SHARE = 2, 1e-4  # a character counts as attested from this many clean words on
 LOST = "�"
 EDGE = "“”«»„‘’…—–¿¡"
 BLANKS = re.compile(r"[ \t\r\n\f\v]+")
@@ -193,7 +194,7 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token in batch.column(0).to_pylist():
             found = inverse(token)
             if found:
-                out.append((token, found[0], found[1], sorted({c for c in found[2] if not c.isspace()})))
+                out.append((token, found[0], found[1], sorted({c for c in found[2] if c not in EDGE and not c.isspace()})))
             if LOST in token or (not found and CONTROL.search(token)):
                 out.append((token, None, "unrestorable", []))
         yield pa.RecordBatch.from_arrays(
@@ -226,7 +227,9 @@ def garbled_tokens(scanned: DataFrame) -> DataFrame:
     tokens = cut(scanned.filter("rec_id is not null").select("token").distinct())
     matched = cut(tokens.join(table, F.col("token") == F.col("garbled")).select(
         "token", F.when(F.col("original") == F.col("other"), F.col("original")).alias("original"), "chain"))
-    attested = words.select(F.explode(F.split("word", "")).alias("char")).groupBy("char").count().filter("count >= 2").select("char")
+    counts = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
+    total = words.agg(F.greatest(F.lit(MIN_WORDS), F.count("*") * MIN_WORD_SHARE).alias("least"))  # one row
+    attested = counts.join(F.broadcast(total), F.col("n") >= F.col("least")).select("char")
     inverted = cut(tokens.join(matched.select("token"), "token", "left_anti").mapInArrow(_invert, "token string, original string, chain string, chars array<string>"))
     missing = (
         inverted.select("token", "chain", F.explode("chars").alias("char")).filter(~F.col("char").rlike(r"^[\x00-\x7f]$"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weblore.llm import encoding_repair, repeated_lines
+from weblore.llm import encoding_repair, repeated_lines, self_repetition, term_counts
 from weblore.session import cut
 from weblore.sources.tables import table
 
@@ -35,9 +36,43 @@ def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(encoding_repair.restore(table(spark, folder, "candidate_pairs", "pair_id", "obj_text"), garbled, "candidate_pairs", False))
 
 
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = term_counts.block_counts(table(spark, folder, "webpage", "page_id", "template"), "page_id", {"template": F.array("template")})
+    pairs = term_counts.block_counts(
+        table(spark, folder, "candidate_pairs", "pair_id", "obj_text", F.col("pred_candidates.text").alias("pred_texts")),
+        "pair_id", {"obj_text": F.array("obj_text"), "pred_text": F.col("pred_texts")},
+    )
+    return term_counts.term_counts(pages.unionByName(pairs))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_counts(spark, folder).filter("mark is not null").select("field_name", "val", "mark")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return self_repetition.repetitive(_documents(spark, folder)).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return self_repetition.measured(_documents(spark, folder)).select("doc_id", "n_words", "n_repeated", "share")
+
+
+def p10_flagged(spark: SparkSession, folder: str) -> DataFrame:
+    return self_repetition.flagged(_documents(spark, folder)).select("doc_id", "lang", "source", "share", "threshold")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean_pages": p1_clean_pages,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p7_found": p7_found,
+    "p7_counts": p7_counts,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+    "p10_flagged": p10_flagged,
 }

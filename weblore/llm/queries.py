@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblore.llm import encoding_repair, repeated_lines, self_repetition, term_counts
+from weblore.llm import encoding_repair, main_content, repeated_lines, self_repetition, term_counts
 from weblore.session import cut
 from weblore.sources.tables import table
 
@@ -36,6 +36,18 @@ def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(encoding_repair.restore(table(spark, folder, "candidate_pairs", "pair_id", "obj_text"), garbled, "candidate_pairs", False))
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "webpage", "page_id", "template", "html", "ground_truth")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_content.main_lines(_pages(spark, folder))
+
+
+def p6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_content.main_text(_pages(spark, folder))
+
+
 def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     pages = term_counts.block_counts(table(spark, folder, "webpage", "page_id", "template"), "page_id", {"template": F.array("template")})
     pairs = term_counts.block_counts(
@@ -70,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean_pages": p1_clean_pages,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p6_found": p6_found,
+    "p6_main_text": p6_main_text,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
     "p10_found": p10_found,

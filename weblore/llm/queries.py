@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblore.llm import encoding_repair, main_content, repeated_lines, self_repetition, term_counts
+from weblore.llm import encoding_repair, layout_clusters, main_content, repeated_lines, self_repetition, term_counts
 from weblore.session import cut
 from weblore.sources.tables import table
 
@@ -36,6 +36,14 @@ def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(encoding_repair.restore(table(spark, folder, "candidate_pairs", "pair_id", "obj_text"), garbled, "candidate_pairs", False))
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "candidate_pairs", "pair_id", "template", "pred_candidates")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return layout_clusters.linked_pairs(_pairs(spark, folder))
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "webpage", "page_id", "template", "html", "ground_truth")
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean_pages": p1_clean_pages,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_main_text": p6_main_text,
     "p7_found": p7_found,

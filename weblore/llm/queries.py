@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblore.llm import encoding_repair, layout_clusters, main_content, repeated_lines, self_repetition, term_counts
+from weblore.llm import encoding_repair, layout_clusters, main_content, mixture, packing, repeated_lines, self_repetition, term_counts
 from weblore.session import cut
 from weblore.sources.tables import table
 
@@ -73,6 +73,22 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text", "lang", "source")
 
 
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "container_size"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(cut(p8_packing(spark, folder)))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "source_target"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.share_report(cut(p9_mixture(spark, folder)), table(spark, folder, "source_target"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return self_repetition.repetitive(_documents(spark, folder)).select("doc_id")
 
@@ -95,6 +111,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_main_text": p6_main_text,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
     "p10_flagged": p10_flagged,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblore.llm import encoding_repair, layout_clusters, main_content, mixture, packing, repeated_lines, self_repetition, term_counts
+from weblore.llm import encoding_repair, entity_linkage, layout_clusters, main_content, mixture, packing, repeated_lines, self_repetition, term_counts
 from weblore.session import cut
 from weblore.sources.tables import table
 
@@ -44,6 +44,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return layout_clusters.linked_pairs(_pairs(spark, folder))
 
 
+def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_linkage.link(
+        table(spark, folder, "candidate_pairs", "pair_id", "page_id", "obj_text"), table(spark, folder, "webpage", "page_id", "topic_text"),
+        table(spark, folder, "kb_node"), table(spark, folder, "kb_edge"),
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_matches(spark, folder).select("src_table", "rec_id", "node_id").distinct()
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "webpage", "page_id", "template", "html", "ground_truth")
 
@@ -107,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_matches": p5_matches,
     "p6_found": p6_found,
     "p6_main_text": p6_main_text,
     "p7_found": p7_found,

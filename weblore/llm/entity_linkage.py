@@ -29,6 +29,8 @@ MIN_TYPO_LENGTH = 6
 # Words around names that are no part of them.
 TITLES = frozenset("mr mrs ms dr prof sir".split())
 ORG_TAILS = frozenset("gmbh ltd inc llc co corp ag sa plc".split())
+ARTICLES = frozenset("a an the la le les el los las un une una uno die der das ein eine".split())
+JOINERS = frozenset("and und et y e".split())
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i"})
 BRACKETS = re.compile(r"\s*[\[(][^\[\]()]*(?:[\])]|$)")
 TOKEN = re.compile(r"[^\W_]+|" + LOST)
@@ -61,15 +63,28 @@ def ordered(text: str) -> str:
     return bare
 
 
-def folded(text: str) -> list[str]:
-    """Words in lower case without accents, titles and company tails."""
+def raw_words(text: str) -> list[str]:
+    """Words in lower case without accents, titles and company tails; a trailing article comes first."""
     plain = unicodedata.normalize("NFKD", text.casefold().translate(LETTERS))
     words = TOKEN.findall("".join(c for c in plain if not unicodedata.combining(c)))
     while len(words) > 1 and words[0] in TITLES:
         words = words[1:]
     while len(words) > 1 and words[-1] in ORG_TAILS:
         words = words[:-1]
-    return words
+    return words[-1:] + words[:-1] if len(words) > 2 and words[-1] in ARTICLES else words
+
+
+def folded(text: str) -> list[str]:
+    """raw_words without the words for "and" in the middle."""
+    words = raw_words(text)
+    return [w for i, w in enumerate(words) if w not in JOINERS or i in (0, len(words) - 1)]
+
+
+def beginning(text: str) -> str:
+    """Key of a name that may be cut off behind a word: its words as they stand, bare of lost letters."""
+    name = BRACKETS.sub("", repaired(" ".join(text.split()))).strip(" .…")
+    plain = unicodedata.normalize("NFKD", name.casefold().translate(LETTERS))
+    return " ".join(TOKEN.findall("".join(c for c in plain if not unicodedata.combining(c))))
 
 
 def name_keys(text: str, is_node: bool) -> list[tuple[str, str]]:
@@ -85,23 +100,32 @@ def name_keys(text: str, is_node: bool) -> list[tuple[str, str]]:
     if len(words) > 1 and LOST not in whole:
         keys.append(("core", "".join(short)))
     if letters >= MIN_TYPO_LENGTH:
-        bare = "".join(re.findall(r"[a-z0-9]", name.casefold().translate({ord(c): None for c in ".,"})))
-        if len(bare) >= MIN_TYPO_LENGTH and (is_node or LOST in name or name.isascii()) and (not is_node or not name.isascii()):
-            tails = "".join(w for w in words if w in TITLES | ORG_TAILS)
-            if not tails:
-                keys.append(("lost", bare))
+        bare = "".join(folded("".join(c for c in name if c.isascii())))
+        if len(bare) >= MIN_TYPO_LENGTH and (not name.isascii() if is_node else LOST in name or name.isascii()):
+            keys.append(("lost", bare))
     if len(short) > 1 and (is_node and len(short[0]) > 1 or not is_node and len(short[0]) == 1) and len("".join(short[1:])) >= 4:
         keys.append(("initial", short[0][0] + "".join(short[1:])))
     return keys
 
 
-def slips(text: str) -> list[str]:
-    """The folded name and all forms with one letter left out: names one slip apart share one."""
-    words = folded(ordered(repaired(" ".join(text.split()))))
-    whole = "".join(words).replace(LOST, "")
-    if sum(c.isalpha() for c in whole) < MIN_TYPO_LENGTH or len(words[0]) == 1:
-        return []
-    return [whole, *{whole[:i] + whole[i + 1 :] for i in range(len(whole))}]
+def squeezed(word: str) -> str:
+    """The word with runs of one letter made a single letter."""
+    return re.sub(r"([^\d])\1+", r"\1", word)
+
+
+def slips(text: str) -> list[tuple[str, str]]:
+    """(form, the name it comes from): the folded name, also without the letters an encoding may
+    lose, also with doubled letters made single, and all forms with one letter left out. Names that are
+    one slip apart share a form."""
+    name = ordered(repaired(" ".join(text.split())))
+    words = raw_words(name)
+    bare = "".join(raw_words("".join(c for c in name if c.isascii())))
+    out = []
+    plain = "".join(words).replace(LOST, "")
+    for whole in {plain, bare, squeezed(plain), squeezed(bare)}:
+        if sum(c.isalpha() for c in whole) >= MIN_TYPO_LENGTH:
+            out += [(form, whole) for form in {whole, *(whole[:i] + whole[i + 1 :] for i in range(len(whole)))}]
+    return out
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -128,8 +152,7 @@ def _keys(batches: Iterator[pa.RecordBatch], is_node: bool, slip: bool) -> Itera
             if not text or not text.strip():
                 continue
             if slip:
-                forms = slips(text)
-                rows += [(ident, "slip", _hash("slip", f), forms[0]) for f in forms]
+                rows += [(ident, "slip", _hash("slip", form), whole) for form, whole in slips(text)]
             else:
                 rows += [(ident, kind, _hash(kind, key), None) for kind, key in name_keys(text, is_node)]
         yield pa.RecordBatch.from_arrays(
@@ -159,7 +182,6 @@ def candidates(values: DataFrame, nodes: DataFrame) -> DataFrame:
     node_keys = cut(keyed(named, True).withColumn("shared", F.count("*").over(W.partitionBy("kind", "key"))).select(F.col("ident").alias("node_id"), "kind", "key", "shared"))
     value_rows = values.select(F.col("value_id").alias("ident"), "text")
     strong = keyed(value_rows, False).join(node_keys, ["kind", "key"]).select(F.col("ident").alias("value_id"), "node_id", "kind", "shared")
-    # a node's name may also be what is left of it in a value, or the value what is left of the node's
     strong = cut(strong)
     rest = values.join(strong.select("value_id").distinct(), "value_id", "left_anti").select(F.col("value_id").alias("ident"), "text")
     node_slips = keyed(named, True, True).select(F.col("ident").alias("node_id"), "key", F.col("form").alias("node_form"))
@@ -174,6 +196,28 @@ def candidates(values: DataFrame, nodes: DataFrame) -> DataFrame:
         "value_id", "node_id", "kind", (F.col("strength") / (1 + F.log(F.col("shared").cast("double")))).alias("weight"))
 
 
+def _beginnings(batches: Iterator[pa.RecordBatch], is_node: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for words in {tuple(beginning(t).split()) for t in (text, "".join(c for c in repaired(text) if c.isascii()))}:
+                ends = range(2, len(words)) if is_node else [len(words)] if len(words) > 1 else []
+                rows += [(ident, _hash("cut", " ".join(words[:k]))) for k in ends]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["ident", "start"])
+
+
+def cut_off_topics(titled: DataFrame, topics: DataFrame, edges: DataFrame, shown: DataFrame) -> DataFrame:
+    """(page_id, node_id, facts) for topics that are the beginning of a node's name.
+
+    Many names begin alike ("University of"), so beginning and fact form one join key: only
+    nodes that share a fact with the page are ever met.
+    """
+    starts = lambda rows, is_node: rows.mapInArrow(lambda it: _beginnings(it, is_node), "ident long, start long").distinct()
+    known = starts(topics.select("node_id", "text"), True).join(edges, F.col("ident") == F.col("source_id")).select(F.col("ident").alias("node_id"), "start", "dest_id")
+    wanted = starts(titled.select("page_id", "text"), False).join(shown, F.col("ident") == F.col("page_id")).select("page_id", "start", "dest_id")
+    return wanted.join(known, ["start", "dest_id"]).groupBy("page_id", "node_id").agg(F.countDistinct("dest_id").alias("facts"))
+
+
 def join_back(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows (…, value_id) joined with found (value_id, …); values of more than a HOT_VALUES-th of the rows by broadcast."""
     counts = rows.groupBy("value_id").agg(F.count("*").alias("n"))
@@ -216,9 +260,12 @@ def link(pairs: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataFrame)
     for _ in range(MAX_ROUNDS):
         shown = alive.select("page_id", F.col("node_id").alias("dest_id")).distinct()
         support = facts.join(shown, ["page_id", "dest_id"]).groupBy("page_id", "node_id").agg(F.count("*").alias("facts")).filter(F.col("facts") >= MIN_FACTS)
+        whole = support.select("page_id").distinct()
+        begun = cut_off_topics(titled.join(whole, "page_id", "left_anti"), topics, edges, shown).filter(F.col("facts") >= MIN_FACTS)
+        support = cut(support.unionByName(begun))
         most = support.groupBy("page_id").agg(F.max("facts").alias("most"))
         topic = cut(support.join(most, "page_id").filter("facts = most").select("page_id", "node_id", "facts"))
-        linked = facts.join(topic, ["page_id", "node_id"], "left_semi").select("page_id", F.col("dest_id").alias("node_id")).distinct().withColumn("linked", F.lit(1))
+        linked = topic.join(edges, F.col("node_id") == F.col("source_id")).select("page_id", F.col("dest_id").alias("node_id")).distinct().withColumn("linked", F.lit(1))
         judged = alive.join(linked, ["page_id", "node_id"], "left")
         per = W.partitionBy("pair_id")
         judged = judged.withColumns({"any": F.max("linked").over(per), "of": F.count("*").over(per)})
@@ -232,6 +279,6 @@ def link(pairs: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataFrame)
         alive = alive.withColumns({"linked": F.lit(None).cast("int"), "of": F.count("*").over(W.partitionBy("pair_id"))})
     pair_links = alive.filter("linked is not null or of = 1").select(
         F.lit("candidate_pairs").alias("src_table"), F.col("pair_id").alias("rec_id"), "node_id", F.least(F.col("weight") + F.when(F.col("linked").isNotNull(), 0.2).otherwise(0.0), F.lit(1.0)).alias("confidence"))
-    page_links = topic.join(headed, ["page_id", "node_id"]).select(
-        F.lit("webpage").alias("src_table"), F.col("page_id").alias("rec_id"), "node_id", F.least(F.col("weight") * 0.5 + F.col("facts") * 0.15, F.lit(1.0)).alias("confidence"))
+    page_links = topic.join(headed, ["page_id", "node_id"], "left").select(
+        F.lit("webpage").alias("src_table"), F.col("page_id").alias("rec_id"), "node_id", F.least(F.coalesce("weight", F.lit(0.5)) * 0.5 + F.col("facts") * 0.15, F.lit(1.0)).alias("confidence"))
     return pair_links.unionByName(page_links)

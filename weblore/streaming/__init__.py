@@ -1,0 +1 @@
+"""Spark-native extras: the reference pipeline has no streams."""

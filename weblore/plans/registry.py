@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weblore.plans import nested_queries, text_kb_queries
+from weblore.plans import nested_queries, stage_queries, text_kb_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**nested_queries.QUERIES, **text_kb_queries.QUERIES}
-ORACLES: dict[str, str] = {**nested_queries.ORACLES, **text_kb_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**nested_queries.QUERIES, **text_kb_queries.QUERIES, **stage_queries.QUERIES}
+ORACLES: dict[str, str] = {**nested_queries.ORACLES, **text_kb_queries.ORACLES, **stage_queries.ORACLES}

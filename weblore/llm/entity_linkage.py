@@ -145,31 +145,37 @@ def _hash(kind: str, key: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind} {key}") - (1 << 63)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], is_node: bool, slip: bool) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], is_node: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text or not text.strip():
-                continue
-            if slip:
-                rows += [(ident, "slip", _hash("slip", form), whole) for form, whole in slips(text)]
-            else:
-                rows += [(ident, kind, _hash(kind, key), None) for kind, key in name_keys(text, is_node)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())],
-            names=["ident", "kind", "key", "form"],
-        )
+        rows = [(ident, KINDS.index(kind), _hash(kind, key)) for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for kind, key in name_keys(text, is_node)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.int64())], names=["ident", "kind", "key"])
+
+
+def _slip_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(ident, key) for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for key in {_hash("slip", form) for form, _ in slips(text)}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["ident", "key"])
+
+
+def keyed(rows: DataFrame, is_node: bool) -> DataFrame:
+    """(ident, kind, key) of rows (ident, text); kind is the place in KINDS."""
+    return rows.mapInArrow(lambda it: _keys(it, is_node), "ident long, kind byte, key long")
+
+
+def slip_keyed(rows: DataFrame) -> DataFrame:
+    """(ident, key) of rows (ident, text) for names one slip apart; only hashes, never texts."""
+    return rows.mapInArrow(_slip_keys, "ident long, key long")
 
 
-def keyed(rows: DataFrame, is_node: bool, slip: bool = False) -> DataFrame:
-    """(ident, kind, key, form) of rows (ident, text)."""
-    return rows.mapInArrow(lambda it: _keys(it, is_node, slip), "ident long, kind string, key long, form string").distinct()
+def slipped(a: str, b: str) -> bool:
+    """Whether some form of one name is one slip away from some form of the other."""
+    return any(one_slip(x, y) for x in {w for _, w in slips(a)} for y in {w for _, w in slips(b)})
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [one_slip(a, b) for a, b in zip(batch.column("form").to_pylist(), batch.column("node_form").to_pylist())]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        keep = [slipped(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def candidates(values: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -179,20 +185,19 @@ def candidates(values: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes under the key. The key tables of values and nodes are joined by hash.
     """
     named = nodes.select(F.col("node_id").alias("ident"), "text")
-    node_keys = cut(keyed(named, True).withColumn("shared", F.count("*").over(W.partitionBy("kind", "key"))).select(F.col("ident").alias("node_id"), "kind", "key", "shared"))
+    node_keys = keyed(named, True).distinct().withColumn("shared", F.count("*").over(W.partitionBy("kind", "key"))).select(F.col("ident").alias("node_id"), "kind", "key", "shared")
     value_rows = values.select(F.col("value_id").alias("ident"), "text")
-    strong = keyed(value_rows, False).join(node_keys, ["kind", "key"]).select(F.col("ident").alias("value_id"), "node_id", "kind", "shared")
-    strong = cut(strong)
-    rest = values.join(strong.select("value_id").distinct(), "value_id", "left_anti").select(F.col("value_id").alias("ident"), "text")
-    node_slips = keyed(named, True, True).select(F.col("ident").alias("node_id"), "key", F.col("form").alias("node_form"))
-    met = keyed(rest, False, True).join(node_slips, "key").select(F.col("ident").alias("value_id"), "node_id", "form", "node_form").distinct()
-    weak = met.mapInArrow(_check, "value_id long, node_id long, form string, node_form string")
-    weak = weak.select("value_id", "node_id", F.lit("slip").alias("kind"), F.count("*").over(W.partitionBy("value_id")).alias("shared"))
-    rank = F.element_at(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(WEIGHT[k]))]), F.col("kind"))
-    graph = strong.unionByName(weak).withColumn("strength", rank)
+    strong = cut(keyed(value_rows, False).join(node_keys, ["kind", "key"]).select(F.col("ident").alias("value_id"), "node_id", "kind", "shared"))
+    rest = cut(values.join(strong.select("value_id").distinct(), "value_id", "left_anti").select(F.col("value_id").alias("ident"), "text"))
+    met = slip_keyed(rest).join(slip_keyed(named).select(F.col("ident").alias("node_id"), "key"), "key").select(F.col("ident").alias("value_id"), "node_id").distinct()
+    texts = met.join(rest.select(F.col("ident").alias("value_id"), "text"), "value_id").join(named.select(F.col("ident").alias("node_id"), F.col("text").alias("node_text")), "node_id")
+    weak = texts.select("value_id", "node_id", "text", "node_text").mapInArrow(_check, "value_id long, node_id long").distinct()
+    weak = weak.select("value_id", "node_id", F.lit(len(KINDS) - 1).cast("byte").alias("kind"), F.count("*").over(W.partitionBy("value_id")).alias("shared"))
+    strength = F.element_at(F.array(*(F.lit(WEIGHT[k]) for k in KINDS)), F.col("kind") + 1)
+    graph = strong.unionByName(weak).withColumn("strength", strength)
     best = graph.groupBy("value_id").agg(F.max("strength").alias("best"))
     kept = graph.join(best, "value_id").filter("strength = best")
-    return kept.groupBy("value_id", "node_id").agg(F.max("kind").alias("kind"), F.max("strength").alias("strength"), F.min("shared").alias("shared")).select(
+    return kept.groupBy("value_id", "node_id").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"), F.min("shared").alias("shared")).select(
         "value_id", "node_id", "kind", (F.col("strength") / (1 + F.log(F.col("shared").cast("double")))).alias("weight"))
 
 

@@ -40,12 +40,11 @@ def walk_step(ranks: DataFrame, edges: DataFrame, start: DataFrame, damping: flo
 
     ranks and start: class, node, r; edges: src, dst, w with rows summing to 1 (or absent: dangling).
     """
-    moved = ranks.join(edges, ranks.node == edges.src).groupBy("class", F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("w")).alias("m"))
-    kept = moved.groupBy("class").agg(F.sum("m").alias("kept"))
-    total = ranks.groupBy("class").agg(F.sum("r").alias("total"))
-    lost = total.join(kept, "class", "left").select("class", (F.col("total") - F.coalesce("kept", F.lit(0.0))).alias("lost"))
+    moved = ranks.join(edges, ranks.node == edges.src, "left").groupBy("class", F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.coalesce("w", F.lit(1.0))).alias("m"))
+    lost = moved.filter("node is null").select("class", F.col("m").alias("lost"))  # one row per class: mass on nodes without edges
+    moved = moved.filter("node is not null")
     u = start.select("class", "node", F.col("r").alias("u"))
-    joined = moved.join(u, ["class", "node"], "full").join(F.broadcast(lost), "class")  # one row per class
+    joined = moved.join(u, ["class", "node"], "full").join(F.broadcast(lost), "class", "left").fillna(0.0, ["lost"])
     return joined.select("class", "node", (F.coalesce("m", F.lit(0.0)) * damping + F.coalesce("u", F.lit(0.0)) * (F.col("lost") * damping + (1 - damping))).alias("r"))
 
 
@@ -62,16 +61,14 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     counts = seeds.distinct().groupBy("class").agg(F.count("*").alias("n"))
     start = cut(seeds.distinct().join(counts, "class").select("class", "node", (1.0 / F.col("n")).alias("r")))
     ranks = start
-    for i in range(rounds):
+    for _ in range(rounds):
         new = walk_step(ranks, norm, start, damping)
-        if tolerance is None:
-            ranks = cut(new) if i % 3 == 2 else new
-            continue
         new = cut(new)
-        change = new.join(ranks.withColumnRenamed("r", "old"), ["class", "node"], "full").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("c")).first().c or 0.0
+        if tolerance is not None:
+            change = new.join(ranks.withColumnRenamed("r", "old"), ["class", "node"], "full").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("c")).first().c or 0.0
+            if change <= tolerance:
+                return new
         ranks = new
-        if change <= tolerance:
-            return ranks
     if tolerance is not None:
         raise RuntimeError(f"no convergence in {rounds} rounds")
     return ranks

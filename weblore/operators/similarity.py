@@ -44,8 +44,10 @@ def similarity_classes(pairs: DataFrame) -> DataFrame:
     return keyed.select("pair_id", "rank", F.xxhash64("template", "o", "p").alias("class_id"), "paths").join(counts, ["class_id", "paths"]).select("pair_id", "rank", "class_id", "n_links")
 
 
-def page_similarity(pairs: DataFrame, gated: bool) -> DataFrame:
-    """(page_id, pair_a, rank_a, pair_b, rank_b, weight) of the candidates on one page, a page bounding the work.
+def page_similarity(pairs: DataFrame, gated: bool, every: int = 20) -> DataFrame:
+    """(page_id, pair_a, rank_a, pair_b, rank_b, weight): the stated queries against all rows of their page.
+
+    Queries are the rows whose pair_id is divisible by `every`.
 
     gated: 0 unless both styles agree; else equal styles add 1. Weights of 0 give no row.
     """
@@ -53,7 +55,8 @@ def page_similarity(pairs: DataFrame, gated: bool) -> DataFrame:
     left = pairs.select("page_id", F.col("pair_id").alias("pair_a"), F.col("rank").alias("rank_a"), F.col("f").alias("fa"), style_key(F.col("obj_dom")).alias("oa"), style_key(F.col("f.dom")).alias("da"), F.col("obj_xpath").alias("xa"), F.col("pred_xpath").alias("ya"))
     right = pairs.select("page_id", F.col("pair_id").alias("pair_b"), F.col("rank").alias("rank_b"), F.col("f").alias("fb"), style_key(F.col("obj_dom")).alias("ob"), style_key(F.col("f.dom")).alias("db"), F.col("obj_xpath").alias("xb"), F.col("pred_xpath").alias("yb"))
     same = (F.col("oa") == F.col("ob")) & (F.col("da") == F.col("db"))
-    met = left.filter("fa is not null").join(right.filter("fb is not null"), "page_id").filter("pair_a < pair_b or (pair_a = pair_b and rank_a < rank_b)").filter("not (xa <=> xb and ya <=> yb)")
+    asked = left.filter(F.col("fa").isNotNull() & (F.col("pair_a") % every == 0))
+    met = asked.join(right.filter("fb is not null"), "page_id").filter("pair_a <> pair_b or rank_a <> rank_b").filter("not (xa <=> xb and ya <=> yb)")
     base = layout_similarity(F.col("fa"), F.col("fb"))
     weight = F.when(same, base).otherwise(0.0) if gated else base + F.when(same, 1.0).otherwise(0.0)
     return met.withColumn("weight", weight).filter("weight > 0").select("page_id", "pair_a", "rank_a", "pair_b", "rank_b", "weight")

@@ -268,12 +268,6 @@ def ppr_fixed_rounds(spark, folder):
     return ranks.select("class", "node", F.round("r", 9).alias("r"))
 
 
-def ppr_restart_walk(spark, folder):
-    """Restart 0.15 to convergence."""
-    ranks = graph.personalised_pagerank(undirected_edges(spark, folder), _seeds(spark, folder), damping=0.85, tolerance=1e-6)
-    return ranks.select("class", "node", F.round("r", 9).alias("r"))
-
-
 def multi_rank_walk(spark, folder):
     return graph.multi_rank_walk(undirected_edges(spark, folder), _seeds(spark, folder), rounds=4, tolerance=None)
 
@@ -380,7 +374,7 @@ def event_sessions(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     page_entities, jaccard_topic, topic_frequency_drop, topic_xpath_hints, topic_pass2, topic_evaluation, selected_templates, candidate_ranks, without_drawn, nearest_predicates, node_neighbours,
     rect_distance, offset_features, middle_nodes, relation_weighted_candidates, redundancy_score, synonym_cutoff, synonym_blend, best_predicate, duplicate_object_prune, middle_string_prune,
-    unlabeled_pairs, similarity_classes, pair_similarity_gated, pair_similarity_open, undirected_edges, row_normalize, ppr_fixed_rounds, ppr_restart_walk, multi_rank_walk, louvain_clusters,
+    unlabeled_pairs, similarity_classes, pair_similarity_gated, pair_similarity_open, undirected_edges, row_normalize, ppr_fixed_rounds, multi_rank_walk, louvain_clusters,
     label_encode, max_distance_feature, feature_vector, nb_predict, new_labels, cluster_pairs, new_labels_not_in_kb, assign_edge_types, kb_write_back, crowd_pick_pages, label_evaluation,
     missed_objects, xpath_rule_scores, events_by_hour, event_sessions)}
 
@@ -398,7 +392,7 @@ def _ratio(side: str, names: tuple[str, ...]) -> str:
 _SIM = _FLAT + f""", s as (select pair_id, rank, page_id, obj_xpath, p.node as node, p.features as f, to_json(obj_dom)::varchar as o, to_json(p.features.dom)::varchar as d from fl where p.features is not null),
 m as (select a.page_id, a.pair_id as pair_a, a.rank as rank_a, b.pair_id as pair_b, b.rank as rank_b, coalesce(a.o = b.o and a.d = b.d, false) as same,
   case when a.f.graphic.is_above_and_on_left = b.f.graphic.is_above_and_on_left then 1.0 else 0.0 end + {_ratio('horizontal', _H)} + {_ratio('vertical', _V)} as base
-  from s a join s b on a.page_id = b.page_id and (a.pair_id < b.pair_id or (a.pair_id = b.pair_id and a.rank < b.rank)) where not (a.obj_xpath is not distinct from b.obj_xpath and a.node is not distinct from b.node))"""
+  from s a join s b on a.page_id = b.page_id and a.pair_id % 20 = 0 and (a.pair_id <> b.pair_id or a.rank <> b.rank) where not (a.obj_xpath is not distinct from b.obj_xpath and a.node is not distinct from b.node))"""
 
 
 def _walk(rounds: int) -> str:

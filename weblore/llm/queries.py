@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblore.llm import encoding_repair, entity_linkage, layout_clusters, main_content, mixture, packing, repeated_lines, self_repetition, term_counts
+from weblore.llm import encoding_repair, entity_linkage, gaussian_mixture, layout_clusters, main_content, mixture, packing, repeated_lines, self_repetition, term_counts
 from weblore.session import cut
 from weblore.sources.tables import table
 
@@ -44,6 +44,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return layout_clusters.linked_pairs(_pairs(spark, folder))
 
 
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut(layout_clusters.nearest(_pairs(spark, folder)))
+    placed = layout_clusters.clusters(None, rows).join(gaussian_mixture.scored(rows), "pair_id")
+    return layout_clusters.typical_members(cut(placed))
+
+
 def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
     return entity_linkage.link(
         table(spark, folder, "candidate_pairs", "pair_id", "page_id", "obj_text"), table(spark, folder, "webpage", "page_id", "topic_text"),
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p5_found": p5_found,
     "p5_matches": p5_matches,
     "p6_found": p6_found,

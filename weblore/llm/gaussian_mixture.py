@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weblore.session import cut
 
 FEATURES = tuple(f"v{k}" for k in range(8))
-COMPONENTS, ROUNDS, AXES, RIDGE = (4, 8, 12), 8, 4, 1e-3
+COMPONENTS, ROUNDS, AXES, RIDGE, START_ROWS = (4, 8, 12), 8, 4, 1e-3, 1000
 
 
 @dataclass(frozen=True)
@@ -93,8 +93,13 @@ def fit(rows: DataFrame, components: tuple[int, ...] = COMPONENTS, rounds: int =
     values, vectors = np.linalg.eigh(cov)
     axes = vectors[:, np.argsort(-values)[:reduced]]
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), range(axes.shape[1])])
-    starts = rows.orderBy(F.xxhash64(F.lit(seed), "pair_id"), "pair_id").limit(max(components)).select(*FEATURES).collect()
+    starts = rows.orderBy(F.xxhash64(F.lit(seed), "pair_id"), "pair_id").limit(START_ROWS).select(*FEATURES).collect()  # only where the rounds start from
     z = np.nan_to_num((np.array([[np.nan if x is None else x for x in r] for r in starts], float) - center) / scale) @ axes
+    chosen, away = [0], ((z - z[0]) ** 2).sum(1)
+    while len(chosen) < min(max(components), len(z)):  # the start farthest from those chosen before
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((z - z[chosen[-1]]) ** 2).sum(1))
+    z = z[chosen]
     models = []
     for k in sorted({min(c, len(z)) for c in components}):
         models.append(Mixture(center, scale, axes, np.full(k, 1 / k), z[:k], np.stack([np.eye(axes.shape[1])] * k)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,11 +33,7 @@ def keys_by_value(m: Column, value: Column) -> Column:
 
 def merged(*maps: Column) -> Column:
     """One map of several; of equal keys the last map's value."""
-    out = maps[0]
-    for m in maps[1:]:
-        kept = F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k))
-        out = F.map_concat(kept, m)
-    return out
+    return reduce(lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b), maps)
 
 
 def largest_absolute(items: Column) -> Column:

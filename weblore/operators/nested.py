@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -109,14 +110,9 @@ def _key(items: pa.StructArray) -> pa.Array:
 
 def _childless(count: int, parents: pa.Array) -> pa.Array:
     """Indices 0..count-1 that are nobody's parent."""
-    flags = pa.array([True] * count)
-    if len(parents):
-        import numpy as np
-
-        mask = np.ones(count, bool)
-        mask[parents.to_numpy(zero_copy_only=False)] = False
-        flags = pa.array(mask)
-    return pc.indices_nonzero(flags)
+    mask = np.ones(count, bool)
+    mask[parents.to_numpy(zero_copy_only=False)] = False
+    return pa.array(np.flatnonzero(mask))
 
 
 def _arrays(batch: pa.RecordBatch, branch: str, depth: int | None) -> Iterator[list[pa.Array]]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,21 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this package's folder on the Python path of the session's workers.
+
+    Needed where the driver found the package by sys.path alone. Executors elsewhere get it by
+    --py-files or an installed package; a folder they lack does no harm.
+    """
+    folder = str(Path(__file__).resolve().parent.parent)
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, tables: str) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if folder not in paths.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (paths, folder) if p)
+        return query(spark, tables)
+
+    return run

@@ -1,11 +1,12 @@
 """Operators on micro fixtures: pages, graphs, geometry, nested records, sources and sinks."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from weblore.operators import crowd, graph, kb, layout, nested, seeds, topic, xpath_rules
+from weblore.operators import classify, crowd, graph, kb, layout, nested, seeds, similarity, topic, xpath_rules
 from weblore.sources import html_nodes, loaders, stage_store
 from weblore.streaming import page_stream
 
@@ -80,6 +81,63 @@ def test_louvain():
     assert len(set(found.values())) == 4 and found[99] == 99 and found[0] == found[4] and found[10] == found[14]
 
 
+STYLE = "font string"
+FLAT = (f"template string, page_id long, pair_id long, rank int, obj_xpath string, pred_xpath string, obj_text string, pred_text string, obj_dom struct<{STYLE}>, "
+        f"f struct<dom:struct<font:string>,distances:struct<horizontal:struct<left_left:double,left_right:double,right_left:double,right_right:double>,"
+        "vertical:struct<up_up:double,up_down:double,down_up:double,down_down:double>>,graphic:struct<is_above_and_on_left:boolean>,dom_distance:int>").replace("font string", "font:string")
+
+
+def candidate(pair, page, font, offsets, above=True, rank=1, obj="/o", pred="/p"):
+    h, v = tuple(offsets[:4]), tuple(offsets[4:])
+    return ("t", page, pair, rank, obj, pred, "o", "p", (font,) if font else None, ((font,) if font else None, (h, v), (above,), 2))
+
+
+def brute_similarity(a, b):
+    if not a[8] or a[8] != b[8] or a[4:6] == b[4:6]:
+        return 0.0
+    out = float(a[9][2] == b[9][2])
+    for x, y in zip(a[9][1], b[9][1]):
+        out += max(min(abs(p), abs(q)) / max(abs(p), abs(q)) if p or q else 0.0 for p in x if p is not None for q in y if q is not None)
+    return out
+
+
+@pytest.mark.parametrize("kept", [similarity.KEPT_ROWS, 3])
+def test_clusters_equal_louvain_on_the_whole_gated_graph(spark, monkeypatch, kept):
+    monkeypatch.setattr(similarity, "KEPT_ROWS", kept)
+    draw = random.Random(5)
+    rows = []
+    for i in range(60):
+        near = draw.choice([1, 40, 900])
+        offsets = [near * draw.uniform(0.9, 1.1) for _ in range(8)]
+        offsets[i % 8] = None if i % 13 == 0 else offsets[i % 8]
+        rows.append(candidate(i, i % 7, "ab"[i % 2], offsets, near != 40, obj=f"/o{i % 5}", pred=f"/p{i % 3}"))
+    rows.append(candidate(60, 1, None, [0.0] * 8))
+    edges = [(i, j, w) for i in range(61) for j in range(i) if (w := brute_similarity(rows[i], rows[j])) > 0]
+    want = graph.louvain(edges, list(range(61)))
+    numbers = {c: k for k, c in enumerate(sorted(set(want.values())))}
+    got = {r.pair_id: r.cluster for r in similarity.gated_clusters(spark.createDataFrame(rows, FLAT).withColumn("seed", F.lit(False))).collect()}
+    assert got == {n: numbers[c] for n, c in want.items()}
+    assert 3 < len(numbers) < 20
+
+
+def test_labels_come_from_the_own_clusters_model(spark):
+    near, far = [-10.0] * 4 + [-20.0, -21.0, -22.0, -23.0], [-500.0] * 4 + [-1.0, -2.0, -3.0, -4.0]
+    rows = []
+    for i in range(12):  # layout a: the upper candidate is right; layout b: the lower one; layout c has no seed
+        for k, font in enumerate("abc"):
+            pair = 10 * i + k
+            good, bad = (near, far) if font == "a" else (far, near)
+            rows += [candidate(pair, i, font, [x + i * 0.01 for x in good], True, 1, f"/{font}{i}/td", f"/{font}{i}/th"), candidate(pair, i, font, [x + i * 0.01 for x in bad], True, 2, f"/{font}{i}/td", f"/{font}{i}/b")]
+    rows.append(candidate(999, 0, "only a seed", near, obj="/x/td", pred="/x/th"))
+    flat = spark.createDataFrame(rows, FLAT)
+    tags = classify.label_codes(spark.createDataFrame([("td",), ("th",), ("b",)], "tag string"), "tag")
+    chosen = flat.filter("page_id < 6 and rank = 1 and obj_dom.font <> 'c'").select("page_id", "obj_xpath", "pred_xpath")
+    clusters, predicted = classify.propagate(flat, classify.feature_vectors(flat, tags), chosen)
+    assert {(r.pair_id // 10, r.pair_id % 10) for r in clusters.collect()} == {(i, k) for i in range(12) for k in range(3) if i >= 6 or k == 2}
+    assert {(r.pair_id, r.rank) for r in predicted.filter("label = 1").collect()} >= {(10 * i + k, 1) for i in range(6, 12) for k in (0, 1)}
+    assert not [r for r in predicted.collect() if r.pair_id % 10 == 2]
+
+
 def test_edge_list(spark):
     lines = spark.createDataFrame([("# c",), ("5 6",), ("7 5 0.5",), ("",)], "value string")
     assert {tuple(r) for r in graph.read_edges(lines).collect()} == {(0, 1, 1.0), (2, 0, 0.5)}

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weblore.functions.text import tag_of
-from weblore.operators.similarity import SIDES, style_key
+from weblore.operators.similarity import SIDES, gated_clusters, style_key
+from weblore.session import cut
 
 FEATURES = ("same_dom", "dom_distance", "min_h", "min_v", "above_left", "obj_tag", "pred_tag")
 
@@ -51,25 +52,47 @@ def feature_vectors(pairs: DataFrame, tags: DataFrame) -> DataFrame:
     return raw.join(code("obj_tag", "_o"), "_o", "left").join(code("pred_tag", "_p"), "_p", "left").fillna(-1, ["obj_tag", "pred_tag"]).drop("_o", "_p")
 
 
-def training_set(pairs: DataFrame, seeds: DataFrame, negatives: int = 5, seed: int = 17) -> DataFrame:
+def training_set(pairs: DataFrame, seeds: DataFrame, negatives: int = 5, seed: int = 17, by: str | None = None) -> DataFrame:
     """pairs with label 1 (seed pairs) and 0 (other candidates of a seed's object, and for each seed
     up to `negatives` pairs of its template with another object and another predicate, drawn by a seeded hash).
 
     seeds: page_id, obj_xpath, pred_xpath. Each seed draws from one of 256 hash slices of its
-    template, so no seed meets all pairs of it.
+    template, so no seed meets all pairs of it. `by` names a column of seeds: each of its values gets its
+    own training set, and no seed pair is drawn for another one's.
     """
-    keys = ["page_id", "obj_xpath"]
-    chosen = seeds.select(*keys, F.col("pred_xpath").alias("seed_pred")).distinct()
+    keys, own = ["page_id", "obj_xpath"], [by] if by else []
+    chosen = seeds.select(*keys, F.col("pred_xpath").alias("seed_pred"), *own).distinct()
     of_object = pairs.join(chosen, keys)
-    near = of_object.withColumn("label", (F.col("pred_xpath") == F.col("seed_pred")).cast("int")).groupBy("pair_id", "rank").agg(F.max("label").alias("label"))
+    near = of_object.withColumn("label", (F.col("pred_xpath") == F.col("seed_pred")).cast("int")).groupBy("pair_id", "rank", *own).agg(F.max("label").alias("label"))
     slices = 256
     draw = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(slices))
-    seeded = of_object.filter("pred_xpath = seed_pred").select("template", F.col("obj_xpath").alias("so"), F.col("pred_xpath").alias("sp"), F.xxhash64("pair_id", "rank").alias("sid"), draw("pair_id").alias("slice")).distinct()
+    seeded = of_object.filter("pred_xpath = seed_pred").select("template", F.col("obj_xpath").alias("so"), F.col("pred_xpath").alias("sp"), F.xxhash64("pair_id", "rank").alias("sid"), draw("pair_id").alias("slice"), *own).distinct()
     pool = pairs.select("template", "pair_id", "rank", "obj_xpath", "pred_xpath", draw("obj_text", "pair_id", "rank").alias("slice"))
+    if by:
+        pool = pool.join(near.filter("label = 1").select("pair_id", "rank").distinct(), ["pair_id", "rank"], "left_anti")
     met = seeded.join(pool, ["template", "slice"]).filter("obj_xpath <> so and pred_xpath <> sp")
-    order = W.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed), "sid", "pair_id", "rank"), "pair_id", "rank")
-    far = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= negatives).select("pair_id", "rank").distinct().withColumn("label", F.lit(0))
-    return near.unionByName(far).groupBy("pair_id", "rank").agg(F.max("label").alias("label"))
+    order = W.partitionBy("sid", *own).orderBy(F.xxhash64(F.lit(seed), "sid", "pair_id", "rank"), "pair_id", "rank")
+    far = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= negatives).select("pair_id", "rank", *own).distinct().withColumn("label", F.lit(0))
+    return near.unionByName(far).groupBy("pair_id", "rank", *own).agg(F.max("label").alias("label"))
+
+
+def propagate(pairs: DataFrame, vectors: DataFrame, seeds: DataFrame, negatives: int = 5, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(clusters, predictions): one model per cluster of a template's unlabelled rows.
+
+    pairs: rows as in flat_candidates; vectors: their feature_vectors; seeds: page_id, obj_xpath, pred_xpath.
+    Objects with a seed are taken out, the others clustered by gated similarity. A seed's training
+    rows count for the cluster whose layout it is most similar to; rows of a cluster that no seed
+    resembles get no prediction. clusters: template, pair_id, rank, cluster; predictions: pair_id, rank, label.
+    """
+    keys = ["page_id", "obj_xpath"]
+    chosen = seeds.select(*keys, "pred_xpath").distinct()
+    marked = pairs.join(chosen, [*keys, "pred_xpath"], "left_semi").withColumn("seed", F.lit(True))
+    free = pairs.join(chosen.select(*keys).distinct(), keys, "left_anti").withColumn("seed", F.lit(False))
+    found = cut(gated_clusters(marked.unionByName(free)).withColumn("model", F.concat_ws(" ", F.coalesce("template", F.lit("")), "cluster")))
+    placed = found.filter("seed").select("pair_id", "rank", "model")
+    train = training_set(vectors, vectors.join(placed, ["pair_id", "rank"]).select(*keys, "pred_xpath", "model"), negatives, seed, by="model")
+    rows = vectors.join(found.filter("not seed").select("pair_id", "rank", "model"), ["pair_id", "rank"])
+    return found.filter("not seed").select("template", "pair_id", "rank", "cluster"), naive_bayes(vectors.join(train, ["pair_id", "rank"]), rows, by="model")
 
 
 def naive_bayes(train: DataFrame, rows: DataFrame, by: str | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +137,52 @@ def louvain(edges: list[tuple[int, int, float]], nodes: list[int], passes: int =
     return member
 
 
+def dense_louvain(row: Callable[[int], np.ndarray], n: int, total: float, passes: int = 20) -> np.ndarray:
+    """The community of each of n nodes of a dense graph, named by its smallest node; rules as in louvain.
+
+    row: weights from one node to all n, itself 0; total: sum of all degrees of the whole graph, of
+    which the n nodes may be some of the components. Only one row is held at a time.
+    """
+    member = np.arange(n)
+    loops = np.zeros(n)
+    degree = np.array([row(i).sum() for i in range(n)])
+    while n and total > 0:
+        size = len(degree)
+        group, weight = np.arange(size), degree.copy()
+        moved_any = False
+        for _ in range(passes):
+            moved = False
+            for i in range(size):
+                near = np.bincount(group, row(i), minlength=size)
+                here = group[i]
+                weight[here] -= degree[i]
+                gain = near - weight * (degree[i] / total)
+                known = np.where(near > 0, gain, -np.inf)
+                top = known.max()
+                best = int((known >= top - 1e-12).argmax()) if top > gain[here] + 1e-12 else here
+                weight[best] += degree[i]
+                if best != here:
+                    group[i], moved, moved_any = best, True, True
+            if not moved:
+                break
+        if not moved_any:
+            break
+        first = np.full(size, size)
+        np.minimum.at(first, group, np.arange(size))
+        names, small = np.unique(first[group], return_inverse=True)
+        merged = np.zeros((len(names), len(names)))
+        for i in range(size):
+            merged[small[i]] += np.bincount(small, row(i), minlength=len(names))
+            merged[small[i], small[i]] += loops[i]
+        member = small[member]
+        degree, loops = merged.sum(1), merged.diagonal().copy()
+        np.fill_diagonal(merged, 0.0)
+        row = merged.__getitem__
+    first = np.full(int(member.max()) + 1 if n else 0, n)
+    np.minimum.at(first, member, np.arange(n))
+    return first[member]
+
+
 def louvain_by(edges: DataFrame, key: str, key_type: str = "string") -> DataFrame:
     """(key, node, community) of edges (key, src, dst, w): one graph per key, all keys in parallel.
 

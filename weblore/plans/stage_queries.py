@@ -273,11 +273,9 @@ def multi_rank_walk(spark, folder):
 
 
 def louvain_clusters(spark, folder):
-    """Communities among the styles of each template: nodes are (object style, predicate style) classes, links shared pages."""
-    flat = _flat(spark, folder).select("template", "page_id", F.pmod(F.xxhash64(similarity.style_key(F.col("obj_dom")), similarity.style_key(F.col("f.dom"))), F.lit(1 << 40)).alias("n")).filter("n is not null").distinct()
-    # a page holds few distinct style classes; pairs are formed inside one page only
-    met = flat.alias("a").join(flat.alias("b"), F.expr("a.page_id = b.page_id and a.template = b.template and a.n < b.n")).groupBy("a.template", F.col("a.n").alias("src"), F.col("b.n").alias("dst")).agg(F.count("*").cast("double").alias("w"))
-    return graph.louvain_by(met, "template")
+    """The cluster of every unlabelled candidate row: Louvain on each template's gated similarity graph."""
+    free = crowd.unlabelled(_flat(spark, folder), _best(spark, folder)).withColumn("seed", F.lit(False))
+    return similarity.gated_clusters(free).drop("seed")
 
 
 def label_encode(spark, folder):
@@ -299,9 +297,9 @@ def feature_vector(spark, folder):
 
 
 def nb_predict(spark, folder):
+    """Predictions for the unlabelled rows, one model per template and cluster."""
     vectors, best = cut(_vectors(spark, folder)), _best(spark, folder)
-    marks = classify.training_set(vectors, best.select("page_id", "obj_xpath", "pred_xpath"))
-    return classify.naive_bayes(vectors.join(marks, ["pair_id", "rank"]), vectors, by="template")
+    return classify.propagate(cut(_flat(spark, folder)), vectors, cut(best.select("page_id", "obj_xpath", "pred_xpath")))[1]
 
 
 def new_labels(spark, folder):

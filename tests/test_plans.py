@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables, and the stages end to end."""
 
+import json
 import math
 import os
 
@@ -55,3 +56,28 @@ def test_stages(spark, tmp_path):
     assert {(r.page_id, r.node_id) for r in store.load("topics").collect()} == {(i, i * 10) for i in facts}
     got = {(r.page_id, r.obj_text, r.pred_text) for r in store.load("seed_labels").collect()}
     assert {(i, f[1], "Director") for i, f in facts.items()} <= got
+
+
+def test_stages_after_the_seed_labels(spark, tmp_path):
+    names = [f"{a} {b}" for a in ("jane", "john", "mary", "carl") for b in ("doehler", "rower", "poelman")]
+    titles = "alpha beta gamma delta epsilon zeta theta kappa lambda omicron sigma omega".split()
+    html = "<html><body><h1>{}</h1><div class='row'><b>Director</b><span>{}</span></div><div class='row'><i>Writer</i><em>{}</em></div></body></html>"
+    truth = [json.dumps({"topic_entity_name": [t], "director": [n]}) for t, n in zip(titles, names)]
+    rows = [(i, "movie-x", "movie", html.format(t, names[i], names[-1 - i] + " jr"), t, truth[i]) for i, t in enumerate(titles)]
+    pages = spark.createDataFrame(rows, "page_id long, template string, domain string, html string, topic_text string, ground_truth string")
+    # the director of the last six films is not known, but their year is
+    nodes = [(i, t) for i, t in enumerate(titles)] + [(100 + i, n) for i, n in enumerate(names[:6])]
+    nodes = spark.createDataFrame(nodes, "node_id long, node_text string")
+    edges = spark.createDataFrame([(i, 100 + i, 7, "director") for i in range(6)], "source_id long, dest_id long, edge_type_id long, edge_type_text string")
+    store = StageStore(spark, str(tmp_path / "stages"))
+    written = pipeline.run(store, pages, nodes, edges)
+    assert {"topic_evaluation", "clusters", "new_labels", "label_evaluation", "new_nodes", "new_edges", "crowd_pairs"} <= set(written)
+    assert {(r.page_id, r.obj_text) for r in store.load("seed_labels").collect()} == {(i, names[i]) for i in range(6)}
+    assert not {t for t in titles} & {r.obj_text for r in store.load("candidate_pairs").collect()}
+    new = {(r.page_id, r.obj_text, r.pred_text) for r in store.load("new_labels").collect()}
+    assert {(i, names[i], "Director") for i in range(6, 12)} <= new
+    assert {(r.source_id, r.edge_type_id) for r in store.load("new_edges").filter("edge_type_text = 'director'").collect()} >= {(i, 7) for i in range(6, 12)}
+    assert {r.node_text for r in store.load("new_nodes").collect()} >= set(names[6:])
+    whole = store.load("label_evaluation").filter("template is null and domain is null").first()
+    assert whole.correct == 6 and whole.retrieved == len(new)
+    assert store.load("topic_evaluation").filter("site is null").first().n_right == 12

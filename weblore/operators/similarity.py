@@ -110,7 +110,7 @@ def gated_clusters(pairs: DataFrame) -> DataFrame:
     No edge leaves a style class, so each class is one task's group, with the template's whole weight in
     the modularity: the result is that of the whole graph. Clusters count from 0 per template by their
     first row; rows without links stay alone. A seed row gets the cluster it is most similar to on
-    average, and no row if it is similar to none.
+    average (all of them on ties), and no row if it is similar to none.
     """
     flat = [F.col(f"f.distances.{side}.{c}").cast("double").alias(f"{side}_{c}") for side, names in SIDES.items() for c in names]
     rows = cut(pairs.select("template", "pair_id", "rank", "obj_xpath", "pred_xpath", "seed", F.col("f.graphic.is_above_and_on_left").cast("double").alias("above"), *flat,
@@ -137,12 +137,13 @@ def gated_clusters(pairs: DataFrame) -> DataFrame:
             return part[["template", "pair_id", "rank", "seed"]].assign(first_pair=part["pair_id"], first_rank=part["rank"]).iloc[:0]
         of_free, of_seed = gated_weights(part)
         found = dense_louvain(of_free, len(free), float(part["total"].iloc[0]))
-        size, at = np.bincount(found, minlength=len(free)), list(found)
+        size, place, at = np.bincount(found, minlength=len(free)), list(range(len(free))), list(found)
         for k in range(len(part) - len(free)):
             mean = np.bincount(found, of_seed(k), minlength=len(free)) / np.maximum(size, 1)
-            at.append(int(mean.argmax()) if mean.max() > 0 else -1)
-        part["at"] = at
-        part = part[part["at"] >= 0]
+            best = np.flatnonzero((mean > 0) & (mean >= mean.max() - 1e-9))
+            place += [len(free) + k] * len(best)
+            at += list(best)
+        part = part.iloc[place].assign(at=at)
         return pd.DataFrame({"template": part["template"], "pair_id": part["pair_id"], "rank": part["rank"], "seed": part["seed"], "first_pair": free["pair_id"].to_numpy()[part["at"]], "first_rank": free["rank"].to_numpy()[part["at"]]})
 
     linked = weighed.groupBy(*key).applyInPandas(cluster, f"template string, pair_id {kind}, rank int, seed boolean, first_pair {kind}, first_rank int")

@@ -60,6 +60,24 @@ def test_lost_characters_and_unknown_words(spark):
     assert encoding_repair.garbled_records(encoding_repair.scan_tokens(df.limit(0), "s", False)).collect() == []
 
 
+def test_a_decoded_quote_is_not_decoded_again():
+    assert encoding_repair.inverse("dâ€™Ã©tÃ©")[0] == "d’été"
+
+
+def test_unknown_words_are_found_in_small_and_large_corpora(spark):
+    broken = {}
+    for i, (word, chain) in enumerate([("Côte", ["cp1252"]), ("Straße", ["cp437"]), ("Où", ["cp850"]), ("гость", ["latin-1"]), ("Ködel", ["cp1252", "mac_roman"]), ("Ďáblice", ["cp1250"])]):
+        text = word
+        for encoding in chain:
+            text = encoding_repair._to_text(text.encode(), encoding)
+        broken[900 + i] = (text, word)
+    for size in (1, 30000):
+        clean = [(10000 + i, f"w{i}é") for i in range(size)] + [(5, "IRMÃ’S"), (6, "síðá")]
+        df = spark.createDataFrame(clean + [(k, t) for k, (t, _) in broken.items()], "rec_id long, text string")
+        got = {r.rec_id: r.original for r in encoding_repair.garbled_records(encoding_repair.scan_tokens(df, "s", False)).collect()}
+        assert got == {k: w for k, (_, w) in broken.items()}
+
+
 def test_term_counts(spark):
     rows = [(1, ["A  b", "a b", None]), (2, ["a B"]), (2, ["a B"]), (3, None), (4, [""]), *((i, ["z"]) for i in range(10, 14))]
     df = spark.createDataFrame(rows, "id long, vals array<string>").withColumn("val", F.lit("clash"))

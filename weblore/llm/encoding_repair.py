@@ -5,8 +5,8 @@ corpus candidates) and the suspicious tokens of each record: a garbled character
 leaves at least two adjacent non-ASCII characters, or U+FFFD. From then on only small token
 tables are shuffled. Garbled forms of every distinct clean word under all chains are
 hash-joined with the distinct suspicious tokens. A token whose clean word never occurs in
-the corpus is decoded by the inverse chain, and the result is accepted only if every decoded
-character is attested in the clean words and the letter case fits the word.
+the corpus is decoded by the inverse chain; the result is accepted if the letter case fits the
+word and every decoded character is a letter whose bytes leave no doubt or attested in clean words.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ UTF8_MISREADINGS = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp1250", "iso88
 # Fixed values: (written in, read in) of single-byte Cyrillic text.
 BYTE_MISREADINGS = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"))
 MAX_ROUNDS = 3
-MIN_WORDS, MIN_WORD_SHARE = 2, 1e-4  # a character counts as attested from this many clean words on
+MIN_WORDS = 2  # a character counts as attested from this many clean words on, whatever the size of the corpus
+# Letters of these ranges need no attestation where the bytes leave no doubt: Latin, Greek, Cyrillic.
+LATIN, OTHER_LETTERS = re.compile("[A-Za-z\u00c0-\u024f]"), re.compile("[\u0370-\u03ff\u0400-\u045f]")
 LOST = "�"
 EDGE = "“”«»„‘’…—–¿¡"
 BLANKS = re.compile(r"[ \t\r\n\f\v]+")
@@ -103,24 +105,40 @@ def core(token: str) -> str:
     return token
 
 
+def _step(text: str, encoding: str) -> str | None:
+    """The text that was once misread in the encoding, None if it was not."""
+    raw = _to_bytes(text, encoding)
+    try:
+        step = raw.decode("utf-8") if raw is not None else text
+    except UnicodeDecodeError:
+        return None
+    return step if step != text else None
+
+
 def decode_run(run: str) -> tuple[str, str] | None:
-    """(original, chain) of a run of non-ASCII characters that misread UTF-8 explains, else None."""
-    for encoding in UTF8_MISREADINGS[:4]:
-        text, rounds = run, 0
-        while rounds < MAX_ROUNDS:
-            raw = _to_bytes(text, encoding)
-            if raw is None:
-                break
-            try:
-                step = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                break
-            if step == text:
-                break
-            text, rounds = step, rounds + 1
-        if rounds:
-            return text, "+".join([encoding] * rounds)
-    return None
+    """(original, chain) of a run of non-ASCII characters that misread UTF-8 explains, else None.
+
+    Any encoding may follow any other: the first that leaves letters only, the one of the round before
+    ahead of the others; else the one of the round before, in the first round the first that decodes.
+    """
+    text, chain = run, []
+    while len(chain) < MAX_ROUNDS:
+        steps = [(step, encoding) for encoding in (*chain[-1:], *UTF8_MISREADINGS) if (step := _step(text, encoding)) is not None]
+        clear = [s for s in steps if all(LATIN.match(c) or OTHER_LETTERS.match(c) for c in s[0])]
+        found = clear or [s for s in steps if not chain or s[1] == chain[-1]]
+        if not found:
+            break
+        text, encoding = found[0]
+        chain.append(encoding)
+    return (text, "+".join(chain)) if chain else None
+
+
+def certain_letters(run: str, decoded: str, token: str) -> str:
+    """The decoded letters that need no attestation: none if the run holds a character that also ends words, and
+    none of a script other than Latin inside a word with Latin letters."""
+    if any(c in EDGE for c in run):
+        return ""
+    return "".join(c for c in decoded if c.isalpha() and (LATIN.match(c) or (OTHER_LETTERS.match(c) and not re.search("[A-Za-z]", token))))
 
 
 def _case_fits(before: str, decoded: str) -> bool:
@@ -130,7 +148,7 @@ def _case_fits(before: str, decoded: str) -> bool:
 
 
 def inverse(token: str) -> tuple[str, str, str] | None:
-    """(restored token, chain, decoded characters) by inverse chains, None if none applies."""
+    """(restored token, chain, decoded characters that must be attested) by inverse chains, None if none applies."""
     out, at, chain, decoded = [], 0, "", ""
     for m in RUN.finditer(token):
         run, lead = m.group(), ""
@@ -142,7 +160,8 @@ def inverse(token: str) -> tuple[str, str, str] | None:
                 found = (lead + found[0] + run[len(lead) + len(inner) :], found[1])
         if found and _case_fits(token[: m.start()], found[0][len(lead) :]):
             out += [token[at : m.start()], found[0]]
-            at, chain, decoded = m.end(), chain or found[1], decoded + found[0]
+            sure = certain_letters(run, found[0], token)
+            at, chain, decoded = m.end(), chain or found[1], decoded + "".join(c for c in found[0] if c not in sure)
     if chain:
         return "".join(out) + token[at:], chain, decoded
     if len(token) >= 3 and all("À" <= c <= "ÿ" for c in token):
@@ -228,8 +247,7 @@ def garbled_tokens(scanned: DataFrame) -> DataFrame:
     matched = cut(tokens.join(table, F.col("token") == F.col("garbled")).select(
         "token", F.when(F.col("original") == F.col("other"), F.col("original")).alias("original"), "chain"))
     counts = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
-    total = words.agg(F.greatest(F.lit(MIN_WORDS), F.count("*") * MIN_WORD_SHARE).alias("least"))  # one row
-    attested = counts.join(F.broadcast(total), F.col("n") >= F.col("least")).select("char")
+    attested = counts.filter(F.col("n") >= MIN_WORDS).select("char")
     inverted = cut(tokens.join(matched.select("token"), "token", "left_anti").mapInArrow(_invert, "token string, original string, chain string, chars array<string>"))
     missing = (
         inverted.select("token", "chain", F.explode("chars").alias("char")).filter(~F.col("char").rlike(r"^[\x00-\x7f]$"))

@@ -158,6 +158,20 @@ def test_mixture_meets_shares(spark):
     assert mixture.mix(docs.limit(0), targets).collect() == []
 
 
+def test_a_source_whose_texts_all_stand_in_scarcer_ones_keeps_its_share(spark):
+    body = lambda s, i: " ".join(f"{s}{i}{k}" for k in range(20))
+    both = [(s * 1000 + i, body("copied", i), f"s{s}") for s in range(3) for i in range(60)]
+    own = [(s * 1000 + 500 + i, body(f"own{s}", i), f"s{s}") for s in (1, 2) for i in range(30 * s)]
+    docs = spark.createDataFrame(both + own, "doc_id long, text string, source string")
+    # s0 has copies only and the smallest share, so the others are scarcer
+    targets = spark.createDataFrame([("s0", 0.1, 1), ("s1", 0.4, 1), ("s2", 0.5, 1)], "source string, target_share double, max_repeats int")
+    out = mixture.mix(docs, targets).collect()
+    total = sum(r.n_tokens for r in out)
+    held = sum({r.doc_id: r.n_tokens for r in out}.values())
+    assert total == held and total > 2000
+    assert abs(sum(r.n_tokens for r in out if r.source == "s0") / total - 0.1) < 0.03
+
+
 def test_flow_prefers_few_repeats():
     ok, flows = mixture.route([(("a",), 10), (("a", "b"), 10), (("b",), 10)], {"a": 0.5, "b": 0.5}, {"a": 2, "b": 2}, 30)
     assert ok and sum(flows.values()) == 30 and all(v <= 10 for k, v in flows.items() if len(k[0]) == 1)

@@ -1,8 +1,7 @@
 """Problem 9: one mixture of all sources at target shares.
 
-A text may stand in several sources. Texts are aggregated by membership pattern: their one or
-two scarcest sources, so there are at most S + S(S-1)/2 patterns for S sources and only this
-table reaches the driver. A min-cost flow routes pattern tokens to source quotas, the r-th use
+A text may stand in several sources. Texts are aggregated by membership pattern: all their
+sources, and only the table of patterns that occur reaches the driver. A min-cost flow routes pattern tokens to source quotas, the r-th use
 of a token costing r-1 (convex), and gives the largest total whose quotas can all be met. The
 flow of a pattern is a segment of a tape on which its seeded documents repeat; which uses fall
 into a segment is decided from prefix sums over hash ranges, never from one sorted task.
@@ -129,7 +128,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
         return docs.sparkSession.createDataFrame([], schema)
     scarce = {s: i for i, s in enumerate(sorted(shares, key=lambda s: (-shares[s] / (supply[s] * repeats[s]), s)))}
     rank = F.create_map(*[x for s, i in scarce.items() for x in (F.lit(s), F.lit(i))])
-    mine = F.slice(F.sort_array(F.collect_set(F.struct(F.element_at(rank, F.col("source")).alias("rank"), "source", "doc_id"))), 1, 2)  # a text stands in at most S sources
+    mine = F.sort_array(F.collect_set(F.struct(F.element_at(rank, F.col("source")).alias("rank"), "source", "doc_id")))  # a text stands in at most S sources
     texts = cut(members.groupBy("text_key").agg(mine.alias("members"), F.max("n_tokens").alias("n_tokens")).select("text_key", "members", "n_tokens", F.col("members.source").alias("pattern")))
     patterns = sorted((tuple(r.pattern), int(r.n)) for r in texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect())
     size = largest_total(patterns, shares, repeats) if total is None else total
@@ -148,7 +147,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     starts = sums.select("pattern", "range", (F.sum("n").over(W.partitionBy("pattern").orderBy("range")) - F.col("n")).alias("base"))
     inside = F.sum("n_tokens").over(W.partitionBy("pattern", "range").orderBy("h", "text_key").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     offsets = placed.withColumn("inside", inside).join(starts, ["pattern", "range"]).withColumn("middle", F.col("base") + F.col("inside") + F.col("n_tokens") / 2)
-    uses = offsets.join(F.broadcast(tape), "pattern")  # at most two rows a pattern
+    uses = offsets.join(F.broadcast(tape), "pattern")  # at most one row per pattern and source
     uses = uses.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).withColumn("place", F.col("middle") + F.col("round") * F.col("period"))
     chosen = uses.filter("place >= low and place < high")
     doc = F.element_at(F.filter("members", lambda m: m["source"] == F.col("source")), 1)["doc_id"]

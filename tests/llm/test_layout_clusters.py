@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from weblore.llm import gaussian_mixture as gm
 from weblore.llm import layout_clusters as lc
 
 
@@ -42,7 +43,6 @@ def test_clusters_equal_brute_force(spark, seed, spread, nulls):
 
 def test_chunked_cells_give_the_same(spark, monkeypatch):
     df, expected = rows(spark, 300, 5, 10, 0.05)
-    monkeypatch.setattr(lc, "PAIR_ROWS", 5)
     original = lc.units
     monkeypatch.setattr(lc, "units", lambda r: original(r, cell_rows=40))
     assert {tuple(r) for r in lc.clusters(None, df).collect()} == expected
@@ -66,3 +66,27 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame(data, schema)
     assert {tuple(r) for r in lc.linked_pairs(df).collect()} == {(1, 2)}
     assert lc.linked_pairs(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_alike_rows_share_a_block(spark, seed):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(0, 1, (1500, 1)) * 60 + rng.normal(0, 9, (1500, 8)) + rng.integers(0, 3, (1500, 1)) * 900
+    v[rng.random((1500, 8)) < 0.05] = np.nan
+    df = spark.createDataFrame([(i, *(None if np.isnan(x) else float(x) for x in r)) for i, r in enumerate(v)], "pair_id long, " + ", ".join(f"v{k} double" for k in range(8)))
+    model = gm.fit(df)
+    assert len(model.weights) > 1
+    inside = model.members(v, lc.REACH)
+    a, b = np.nonzero(np.triu(~(np.abs(v[:, None] - v[None]) > lc.REACH).any(2), 1))
+    assert len(a) > 1000 and (inside[a] & inside[b]).any(1).all()
+    assert not inside.all()
+
+
+def test_sweep_of_interleaved_rows():
+    rng = np.random.default_rng(9)
+    n = 4000
+    v = np.column_stack([rng.normal(0, 4, (n, 4)), rng.normal(0, 3, (n, 4)) + 40 * rng.integers(0, 2, (n, 1))])
+    order = np.argsort(v[:, 0])
+    ids = rng.permutation(n)
+    root = lc._local(np.zeros(n, np.int64), ids[order], v[order])
+    assert {(int(i), int(r)) for i, r in zip(ids[order], root)} == brute(ids, np.zeros(n), v)

@@ -32,7 +32,7 @@ def test_mixture_finds_separate_groups(spark):
     rng = np.random.default_rng(2)
     rows = [(i, *map(float, rng.normal(100 * (i % 4), 5, 8))) for i in range(400)] + [(999, *([None] * 8))]
     df = spark.createDataFrame(rows, "pair_id long, " + ", ".join(f"v{k} double" for k in range(8)))
-    model = gm.fit(df, components=(1, 4))
+    model = gm.fit(df)
     assert len(model.weights) == 4 and abs(model.weights.sum() - 1) < 1e-9
     scored = {r.pair_id: r.log_density for r in gm.scored(df, model).collect()}
     assert len(scored) == 401 and all(np.isfinite(v) for v in scored.values())

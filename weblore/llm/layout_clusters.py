@@ -1,15 +1,19 @@
 """Problem 3: clusters of rows that show the same place of a layout.
 
-A Gaussian mixture cannot give the required clusters (rows connected by steps of at most 12
-pixels in every offset that both have), so the clusters come from an exact linkage on a grid
-and the mixture (mixture.py) ranks each cluster's members by density.
-
-Rows of one (template, predicate text) are laid on a grid over two offsets; a row near a cell's
-upper border is copied to the next cell, so every pair of alike rows meets in a cell. Cells
+A Gaussian mixture is fitted to all rows (gaussian_mixture.py). Its components propose the blocks
+in which rows are compared: a row goes to every component that may be the likeliest one within
+12 pixels of it, so two alike rows always share a block. Inside a block the exact test (no offset
+that both have differs by more than 12 pixels) settles which rows are connected. The mixture
+also ranks each cluster's members by density.
+
+Rows of one (template, predicate text, component) are laid on a grid over two offsets; a row near a
+cell's upper border is copied to the next cell, so every pair of alike rows meets in a cell. Cells
 with more than CELL_ROWS rows are cut into chunks and every pair of chunks becomes a unit of
-its own: no unit exceeds two chunks, whatever share of the rows one place holds. Units are
-swept in sorted order with array operations; each gives only its own components, which the
-rows that stand in several units join to the clusters.
+its own: no unit exceeds two chunks, whatever share of the rows one place holds. A unit is swept
+in sorted order with array operations: rows of one 12-pixel cube are alike by definition, and
+rows whose window holds only their own component are left at once, so a dense place costs its
+sort, not its pairs. Each unit gives only its components, which the rows that stand in several
+units join to the clusters.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weblore.llm.components import components
+from weblore.llm.gaussian_mixture import FEATURES, Mixture, fit, proposed
 from weblore.session import cut
 
-REACH, CELL, CELL_ROWS, BUFFER_ROWS, PAIR_ROWS = 12.0, 96.0, 4096, 60_000, 1_000_000
+REACH, CELL, CELL_ROWS, BUFFER_ROWS = 12.0, 96.0, 16_384, 60_000
 OFFSETS = tuple(f"horizontal.{c}" for c in ("left_left", "left_right", "right_left", "right_right")) + tuple(
     f"vertical.{c}" for c in ("up_up", "up_down", "down_up", "down_down"))
 AXES = (0, 4)  # the offsets that the grid lies on
@@ -53,25 +58,28 @@ def nearest(pairs: DataFrame) -> DataFrame:
     ).dropDuplicates(["pair_id"])
 
 
+PLACE = ["place_a", "place_b", "block"]
+
+
 def units(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """rows with the unit (place_a, place_b, cx, cy, i, j) they are compared in, one row per unit.
+    """rows with the unit (place, block, cx, cy, i, j) they are compared in, one row per unit.
 
-    Rows that lack a grid offset go to every cell of their place that their other offset allows,
-    and to one cell of all such rows of the place.
+    Rows that lack a grid offset go to every cell of their place and block that their other offset
+    allows, and to one cell of all such rows.
     """
     x, y = (f"v{a}" for a in AXES)
     cells = lambda c: F.array_distinct(F.array(F.floor(F.col(c) / CELL), F.floor((F.col(c) + REACH) / CELL)))
     whole = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     placed = whole.withColumn("cx", F.explode(cells(x))).withColumn("cy", F.explode(cells(y)))
     wild = rows.filter(F.col(x).isNull() | F.col(y).isNull())
-    there = placed.select("place_a", "place_b", "cx", "cy").distinct()
-    spread = wild.join(there, ["place_a", "place_b"]).filter(
+    there = placed.select(*PLACE, "cx", "cy").distinct()
+    spread = wild.join(there, PLACE).filter(
         (F.col(x).isNull() | F.array_contains(cells(x), F.col("cx")) | (F.col("cx") == F.floor((F.col(x) - REACH) / CELL)))
         & (F.col(y).isNull() | F.array_contains(cells(y), F.col("cy")) | (F.col("cy") == F.floor((F.col(y) - REACH) / CELL))))
     own = wild.withColumns({"cx": F.lit(None).cast("long"), "cy": F.lit(None).cast("long")})
     entries = placed.unionByName(spread.select(placed.columns)).unionByName(own)
     entries = entries.withColumns({"cx": F.coalesce("cx", F.lit(-(1 << 40))), "cy": F.coalesce("cy", F.lit(-(1 << 40)))})
-    key = ["place_a", "place_b", "cx", "cy"]
+    key = [*PLACE, "cx", "cy"]
     large = entries.groupBy(*key).count().filter(F.col("count") > cell_rows).select(*key, F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
     cut_up = entries.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("pair_id"), F.col("chunks")).cast("int")
@@ -79,8 +87,17 @@ def units(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
             .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("mine", "other", "chunks"))
 
 
+def _cubes(unit: np.ndarray, v: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours in cube order that share unit and REACH-wide cube of all offsets."""
+    at = np.flatnonzero(whole)
+    cube = np.floor(v[at] / REACH)
+    order = np.lexsort((*cube.T, unit[at]))
+    same = (unit[at][order][1:] == unit[at][order][:-1]) & (cube[order][1:] == cube[order][:-1]).all(1)
+    return at[order[:-1][same]], at[order[1:][same]]
+
+
 def _local(unit: np.ndarray, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest id of each row's component; rows are sorted by unit, rows without the first axis, then the first axis."""
+    """Smallest id of each row's component; rows are sorted by unit, rows without a grid offset, then the first axis."""
     n, x = len(ids), v[:, AXES[0]]
     blind = np.isnan(x) | np.isnan(v[:, AXES[1]])
     order = np.argsort(ids, kind="stable")
@@ -93,30 +110,31 @@ def _local(unit: np.ndarray, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
             m = np.minimum(of_a, of_b)
             for at in (order[of_a], order[of_b]):  # the rows that bear the labels take the smaller one
                 np.minimum.at(low, at, m)
-            compress()
+            while not np.array_equal(again := low[order][low], low):
+                low[:] = again
             apart = low[a] != low[b]
             a, b = a[apart], b[apart]
 
-    def compress() -> None:
-        while not np.array_equal(again := low[order][low], low):
-            low[:] = again
-
-    left, right, held, at, s = [], [], 0, np.arange(n), 1
+    join(*_cubes(unit, v, ~np.isnan(v).any(1)))
+    ends = np.append(np.flatnonzero(unit[1:] != unit[:-1]) + 1, n)
+    last = ends[np.searchsorted(ends, np.arange(n), "right")]  # the window of row i ends before last[i]
+    for begin, end in zip(np.r_[0, ends[:-1]], ends):
+        first = begin + int(np.count_nonzero(blind[begin:end]))
+        last[first:end] = first + np.searchsorted(x[first:end], x[first:end] + REACH * (1 + 1e-9), "right")
+    at, to = np.arange(n), np.arange(n) + 1
+    runs = np.append(np.flatnonzero(low[1:] != low[:-1]) + 1, n)  # where the label changes
     while len(at):
-        at = at[at + s < n]
-        near = (unit[at] == unit[at + s]) & (blind[at] | ~(x[at + s] - x[at] > REACH))
-        at = at[near]
-        open_ = at[low[at] != low[at + s]]
-        linked = open_[~(np.abs(v[open_] - v[open_ + s]) > REACH).any(1)]
-        left.append(linked)
-        right.append(linked + s)
-        held += len(linked)
-        if held > PAIR_ROWS:
-            join(np.concatenate(left), np.concatenate(right))
-            left, right, held = [], [], 0
-        s += 1
-    edges = (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-    join(*edges)
+        inside = to < last[at]
+        at, to = at[inside], to[inside]
+        known = low[to] == low[at]
+        to[known] = runs[np.searchsorted(runs, to[known], "right")]  # behind the stretch of the own label
+        inside = to < last[at]
+        at, to = at[inside], to[inside]
+        linked = ~(np.abs(v[at] - v[to]) > REACH).any(1)
+        if linked.any():
+            join(at[linked], to[linked])
+            runs = np.append(np.flatnonzero(low[1:] != low[:-1]) + 1, n)
+        to = to + 1
     return ids[order[low]]
 
 
@@ -130,12 +148,13 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = _local(np.cumsum(new), ids, v)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], names=["pair_id", "root"])
 
+    width = len(PLACE) + 4
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.column_stack([batch.column(k).to_numpy() for k in range(6)])
-        ids = batch.column(6).to_numpy()
-        v = np.column_stack([batch.column(7 + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(8)])
+        keys = np.column_stack([batch.column(k).to_numpy() for k in range(width)])
+        ids = batch.column(width).to_numpy()
+        v = np.column_stack([batch.column(width + 1 + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(8)])
         held.append((keys, ids, v))
         if sum(len(p[1]) for p in held) >= BUFFER_ROWS:
             keys, ids, v = (np.concatenate([p[k] for p in held]) for k in range(3))
@@ -149,13 +168,16 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def clusters(pairs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """(pair_id, cluster) of every row with a nearest candidate; cluster is its smallest pair_id."""
+def clusters(pairs: DataFrame, rows: DataFrame | None = None, model: Mixture | None = None) -> DataFrame:
+    """(pair_id, cluster) of every row with a nearest candidate; cluster is its smallest pair_id.
+
+    The blocks are those of the mixture, fitted to the rows if none is given.
+    """
     rows = cut(nearest(pairs)) if rows is None else rows
-    key = ["place_a", "place_b", "cx", "cy", "i", "j"]
-    vectors = [f"v{k}" for k in range(8)]
+    model = fit(rows) if model is None else model
+    key = [*PLACE, "cx", "cy", "i", "j"]
     x, y = (F.col(f"v{a}") for a in AXES)
-    swept = units(rows).select(*(F.col(k).cast("long") for k in key), "pair_id", *vectors)
+    swept = units(cut(proposed(rows.select("pair_id", "place_a", "place_b", *FEATURES), model, REACH))).select(*(F.col(k).cast("long") for k in key), "pair_id", *FEATURES)
     swept = swept.repartition(*key).sortWithinPartitions(*key, (x.isNotNull() & y.isNotNull()), x.asc_nulls_first())
     local = cut(swept.mapInArrow(_sweep, "pair_id long, root long"))
     lowest = local.groupBy("pair_id").agg(F.min("root").alias("low"), F.max("root").alias("high"))

@@ -46,7 +46,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut(layout_clusters.nearest(_pairs(spark, folder)))
-    placed = layout_clusters.clusters(None, rows).join(gaussian_mixture.scored(rows), "pair_id")
+    model = gaussian_mixture.fit(rows)
+    placed = layout_clusters.clusters(None, rows, model).join(gaussian_mixture.scored(rows, model), "pair_id")
     return layout_clusters.typical_members(cut(placed))
 
 

@@ -30,7 +30,7 @@ from weblore.llm.components import components
 from weblore.llm.gaussian_mixture import FEATURES, Mixture, fit, proposed
 from weblore.session import cut
 
-REACH, CELL, CELL_ROWS, BUFFER_ROWS = 12.0, 96.0, 16_384, 60_000
+REACH, CELL, CELL_ROWS, BUFFER_ROWS, LARGE_CELLS = 12.0, 96.0, 16_384, 60_000, 50_000
 OFFSETS = tuple(f"horizontal.{c}" for c in ("left_left", "left_right", "right_left", "right_right")) + tuple(
     f"vertical.{c}" for c in ("up_up", "up_down", "down_up", "down_down"))
 AXES = (0, 4)  # the offsets that the grid lies on
@@ -80,7 +80,8 @@ def units(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     entries = placed.unionByName(spread.select(placed.columns)).unionByName(own)
     entries = entries.withColumns({"cx": F.coalesce("cx", F.lit(-(1 << 40))), "cy": F.coalesce("cy", F.lit(-(1 << 40)))})
     key = [*PLACE, "cx", "cy"]
-    large = entries.groupBy(*key).count().filter(F.col("count") > cell_rows).select(*key, F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks"))
+    large = cut(entries.groupBy(*key).count().filter(F.col("count") > cell_rows).select(*key, F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks")))
+    large = F.broadcast(large) if large.count() <= LARGE_CELLS else large  # else entries meet them by shuffle
     cut_up = entries.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("pair_id"), F.col("chunks")).cast("int")
     return (cut_up.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -4,6 +4,9 @@ Words become integers and whole batches of documents are measured with array ope
 Thresholds come from one mergeable quantile sketch per (language, source); sketches of small
 groups are replaced by their language's merged sketch. The sketches are a few KB each and are
 joined back to the documents on (language, source), nothing is collected.
+
+Where a fixed share must be found whole, a group whose quantile lies above it is filtered at the
+sketch's own value next below that share instead; an exact check of the filtered rows follows.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 from weblore.session import cut
 
 WINDOW, PHRASE = 6, 5  # longer directly repeated phrases are repeated windows
-MAX_SHARE = 0.30
+MAX_SHARE, STEPS = 0.30, 100
 SLICE_CHARS = 2_000_000
-MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 WORD = re.compile(r"[^\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,33 +98,36 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1)), F.lit("")), F.lit("und"))
 
 
-def thresholds(shares: DataFrame, quantile: float = 0.95, least_docs: int = 100, max_share: float = MAX_SHARE) -> DataFrame:
-    """(lang, source, threshold, n_docs): the group's quantile, never above max_share.
+def thresholds(shares: DataFrame, quantile: float = 0.95, least_docs: int = 100, whole_from: float | None = None) -> DataFrame:
+    """(lang, source, threshold, n_docs): the group's quantile by its sketch.
 
-    Groups of fewer than least_docs documents use the merged sketch of their language.
+    Groups of fewer than least_docs documents use the merged sketch of their language. whole_from: a share
+    from which on no document may be missed; the threshold is then the largest value of the sketch, up to the
+    quantile, that does not exceed this share.
     Inputs: lang without nulls, source without nulls, share.
     """
     groups = shares.groupBy("lang", "source").agg(F.kll_sketch_agg_double("share").alias("sketch"), F.count("*").alias("n_docs"))
     languages = groups.groupBy(F.col("lang").alias("of_lang")).agg(F.kll_merge_agg_double("sketch").alias("merged")) if hasattr(F, "kll_merge_agg_double") else (
         shares.groupBy(F.col("lang").alias("of_lang")).agg(F.kll_sketch_agg_double("share").alias("merged")))
     chosen = F.when(F.col("n_docs") >= least_docs, F.col("sketch")).otherwise(F.col("merged"))
-    return groups.join(languages, F.col("lang") == F.col("of_lang")).select(
-        "lang", "source", F.least(F.kll_sketch_get_quantile_double(chosen, F.lit(quantile)), F.lit(max_share)).alias("threshold"), "n_docs"
-    )
+    rated = groups.join(languages, F.col("lang") == F.col("of_lang")).withColumn("chosen", chosen)
+    if whole_from is None:
+        threshold = F.kll_sketch_get_quantile_double("chosen", F.lit(quantile))
+    else:  # the sketch's largest value up to the quantile that does not exceed the share
+        steps = F.kll_sketch_get_quantile_double("chosen", F.array(*(F.lit(quantile * k / STEPS) for k in range(STEPS + 1))))
+        threshold = F.coalesce(F.array_max(F.filter(steps, lambda q: q <= whole_from)), F.lit(0.0))
+    return rated.select("lang", "source", threshold.alias("threshold"), "n_docs")
 
 
-def flagged(docs: DataFrame, quantile: float = 0.95, max_share: float = MAX_SHARE) -> DataFrame:
-    """Documents at or above their group's threshold and with any repetition: adds threshold.
-
-    As no threshold exceeds max_share, every document with a share of max_share is flagged.
-    """
+def flagged(docs: DataFrame, quantile: float = 0.95, whole_from: float | None = None) -> DataFrame:
+    """Documents at or above their group's threshold and with any repetition: adds threshold."""
     shares = cut(measured(docs).withColumns({"lang": language(F.col("lang")), "source": F.coalesce("source", F.lit(""))}))
-    return shares.join(thresholds(shares, quantile, max_share=max_share), ["lang", "source"]).filter(
+    return shares.join(thresholds(shares, quantile, whole_from=whole_from), ["lang", "source"]).filter(
         (F.col("share") > 0) & (F.col("share") >= F.col("threshold"))
     )
 
 
 def repetitive(docs: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
-    """Flagged documents whose share reaches max_share (exact check on integer counts)."""
+    """Documents that their group's threshold lets through and whose share reaches max_share (exact check on integer counts)."""
     percent = round(max_share * 100)
-    return flagged(docs, max_share=max_share).filter(F.col("n_repeated") * 100 >= F.col("n_words") * percent)
+    return flagged(docs, whole_from=max_share).filter(F.col("n_repeated") * 100 >= F.col("n_words") * percent)

@@ -107,6 +107,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.share_report(cut(p9_mixture(spark, folder)), table(spark, folder, "source_target"))
 
 
+def p9_choices(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.choices(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "source_target"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return self_repetition.repetitive(_documents(spark, folder)).select("doc_id")
 
@@ -136,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill": p8_fill,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_choices": p9_choices,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
     "p10_flagged": p10_flagged,

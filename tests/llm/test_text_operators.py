@@ -1,6 +1,7 @@
 """Corpus operators on small fixtures: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -110,6 +111,25 @@ def test_self_repetition_equals_brute_force():
     assert repeated[-1] == words[-1] - 2
 
 
+def test_a_long_tag_is_markup():
+    assert [x.tolist() for x in self_repetition.repeated_words(["<a title='" + "buy this now " * 300 + "'>one two three</a>"])] == [[3], [0]]
+
+
+@pytest.mark.parametrize("spam", [5, 60, 200])
+def test_no_document_above_the_fixed_share_is_missed(spark, spam):
+    draw = random.Random(spam)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    rows = []
+    for i in range(200):  # shares spread over the whole range, whatever the group's quantile
+        own, again = [word() for _ in range(40)], draw.randint(7, 39) if i < spam else draw.randint(0, 9)
+        rows.append((i, " ".join(own + own[:again]), "en", "s" if i % 3 else "small"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {r.doc_id for r in self_repetition.measured(df).collect() if r.n_repeated * 100 >= 30 * r.n_words}
+    assert {r.doc_id for r in self_repetition.repetitive(df).collect()} == want and want
+    limits = {(r.lang, r.source): r.threshold for r in self_repetition.thresholds(self_repetition.measured(df), whole_from=0.3).collect()}
+    assert all(v <= 0.3 for v in limits.values())
+
+
 def test_repetitive_documents(spark):
     unique = lambda i: " ".join(chr(97 + i % 26) + chr(97 + k // 26) + chr(97 + k % 26) for k in range(60))
     rows = [(i, unique(i), "en", "s") for i in range(20)] + [(100, "buy now " * 30, None, None), (101, None, "EN", "s"), (102, "", "en-GB", None), (103, "\n" * 100000, "??", "s")]
@@ -129,7 +149,7 @@ def test_windows_hold_every_item_once(capacity):
 
 
 def test_pack_splits_only_what_exceeds_the_capacity(spark):
-    docs = spark.createDataFrame([(1, "word " * 1000), (2, "one two"), (2, "one two"), (3, None), (4, ""), (5, "a b c d")], "doc_id long, text string")
+    docs = spark.createDataFrame([(-(1 << 63) + 1, "word " * 1000), (2, "one two"), (2, "one two"), (3, None), (4, ""), ((1 << 62) + 5, "a b c d")], "doc_id long, text string")
     kinds = spark.createDataFrame([("small", 100), ("large", 5000)], "container_kind string, capacity_tokens int")
     rows = packing.pack(docs, kinds).collect()
     for kind, capacity in (("small", 100), ("large", 5000)):
@@ -137,8 +157,8 @@ def test_pack_splits_only_what_exceeds_the_capacity(spark):
         per = {}
         for r in own:
             per[r.container_id] = per.get(r.container_id, 0) + r.n_tokens
-            assert r.part_no == 0 or r.doc_id == 1
-        assert max(per.values()) <= capacity and {r.doc_id for r in own} == {1, 2, 5}
+            assert r.part_no == 0 or r.doc_id == 1 - (1 << 63)
+        assert max(per.values()) <= capacity and {r.doc_id for r in own} == {1 - (1 << 63), 2, (1 << 62) + 5}
     assert packing.pack(docs.limit(0), kinds).collect() == []
 
 
@@ -177,6 +197,47 @@ def test_flow_prefers_few_repeats():
     assert ok and sum(flows.values()) == 30 and all(v <= 10 for k, v in flows.items() if len(k[0]) == 1)
 
 
+def brute_total(patterns, shares, repeats):
+    low, high = 0, sum(t * max(repeats[s] for s in m) for m, t in patterns)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if mixture.route(patterns, shares, repeats, mid)[0] else (low, mid - 1)
+    return low
+
+
+def test_newton_steps_find_the_largest_total():
+    draw = random.Random(4)
+    for _ in range(40):
+        names = [f"s{i}" for i in range(draw.randint(1, 7))]
+        patterns = {tuple(sorted(draw.sample(names, draw.randint(1, len(names))))): draw.randint(1, 5000) for _ in range(draw.randint(1, 12))}
+        there = sorted({s for m in patterns for s in m})
+        weight = {s: draw.random() + 0.01 for s in there}
+        shares, repeats = {s: w / sum(weight.values()) for s, w in weight.items()}, {s: draw.randint(1, 4) for s in there}
+        exact = brute_total(sorted(patterns.items()), shares, repeats)
+        found = mixture.largest_total(sorted(patterns.items()), shares, repeats)
+        assert found <= exact and exact - found <= len(there) / min(shares.values()) + 1
+        assert mixture.route(sorted(patterns.items()), shares, repeats, found)[0]
+
+
+def test_five_hundred_sources_in_seconds():
+    draw = random.Random(8)
+    names = [f"s{i}" for i in range(500)]
+    patterns = {(s,): draw.randint(1000, 10**6) for s in names} | {tuple(sorted(draw.sample(names, draw.randint(2, 5)))): draw.randint(1, 10**5) for _ in range(5000)}
+    began = time.time()
+    total = mixture.largest_total(sorted(patterns.items()), dict.fromkeys(names, 1 / 500), dict.fromkeys(names, 3))
+    assert mixture.route(sorted(patterns.items()), dict.fromkeys(names, 1 / 500), dict.fromkeys(names, 3), total)[0]
+    assert time.time() - began < 60
+
+
+def test_choices(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{'a' if i % 10 else 'b'}{i}x{k}" for k in range(20)), "big" if i % 10 else "tiny") for i in range(100)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 2)], "source string, target_share double, max_repeats int")
+    rows = mixture.choices(docs, targets).orderBy("wish").collect()
+    assert rows[0].wish == 0 and rows[0].exact and rows[0].furthest_share < 0.01
+    assert rows[-1].corpus_used > rows[0].corpus_used and rows[-1].furthest_share > 0.1
+    assert mixture.choices(docs.limit(0), targets).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}

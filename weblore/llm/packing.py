@@ -84,13 +84,17 @@ def relieve(found: list[list[int]], sizes: list[int], capacity: int) -> bool:
     while left and left != before:
         for w in np.argsort(-sums):
             while (excess := sums[w] - capacity) > 0:
-                mine = np.flatnonzero((home == w) & (at < len(sizes)))
-                gain = size[at[mine]][:, None] - size[at][None, :]
-                gain[(gain > (capacity - sums[home])[None, :]) | (home == w)[None, :]] = 0
-                waste = (capacity - sums[home])[None, :] - gain  # space that stays free in the other window
-                enough = np.where((gain >= excess), waste, np.iinfo(np.int64).max)
-                best = enough.argmin() if (gain >= excess).any() else gain.argmax()
-                a, b = mine[best // len(at)], best % len(at)
+                # items of one size in one window are alike: one of each stands for them
+                _, kinds = np.unique(home * (capacity + 1) + size[at], return_index=True)
+                mine, other = kinds[(home[kinds] == w) & (at[kinds] < len(sizes))], kinds[home[kinds] != w]
+                if not len(other):
+                    break
+                room = (capacity - sums[home[other]])[None, :]
+                gain = size[at[mine]][:, None] - size[at[other]][None, :]
+                gain[gain > room] = 0
+                fits = gain >= excess
+                best = np.where(fits, room - gain, np.iinfo(np.int64).max).argmin() if fits.any() else gain.argmax()
+                a, b = mine[best // len(other)], other[best % len(other)]
                 d = gain.flat[best]
                 if d <= 0:
                     break
@@ -132,8 +136,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         kind, capacity, number = group
         out = []
-        for w, items in enumerate(windows([r[3] for r in rows], capacity)):
-            out += [(kind, capacity, (number << 20) + w, *rows[i]) for i in items]
+        full, rest = ([r for r in rows if (r[3] == capacity) == whole] for whole in (True, False))
+        filled = [[rest[i] for i in items] for items in windows([r[3] for r in rest], capacity)]
+        for w, items in enumerate([*filled, *([r] for r in full)]):
+            out += [(kind, capacity, (number << 20) + w, *r) for r in items]
         types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=[c.split()[0] for c in PACKED.split(", ")])
 
@@ -171,16 +177,11 @@ def pack(docs: DataFrame, containers: DataFrame, path: str = VOCABULARY) -> Data
     pieces = parts(sized, kinds)
     total = sized.agg(F.sum("n_tokens").alias("n")).first().n or 0
     groups = reduce(lambda c, kind: c.when((F.col("container_kind") == kind[0]) & (F.col("capacity_tokens") == kind[1]), max(1, round(total / (kind[1] * WINDOWS)))), kinds, F)
-    full = F.col("n_tokens") == F.col("capacity_tokens")
     number = F.pmod(F.xxhash64("doc_id", "part_no"), groups)
-    rest = pieces.filter(~full).withColumn("group", number).select("container_kind", "capacity_tokens", "group", "doc_id", "part_no", "start_token", "n_tokens")
     key = ["container_kind", "capacity_tokens", "group"]
-    packed = rest.repartition(*key).sortWithinPartitions(*key, F.desc("n_tokens"), "doc_id", "part_no")
-    packed = packed.select(*key, "doc_id", "part_no", "n_tokens", "start_token")
     columns = [c.split()[0] for c in PACKED.split(", ")]
-    alone = pieces.filter(full).withColumn("container_id", -(F.col("doc_id") * (1 << 20) + F.col("part_no")) - 1).select(*columns)
-    packed = packed.select(*key, F.col("doc_id"), F.col("part_no"), F.col("start_token"), F.col("n_tokens"))
-    return packed.mapInArrow(_pack, PACKED).select(*columns).unionByName(alone)
+    spread = pieces.withColumn("group", number).repartition(*key).sortWithinPartitions(*key, F.desc("n_tokens"), "doc_id", "part_no")
+    return spread.select(*key, "doc_id", "part_no", "start_token", "n_tokens").mapInArrow(_pack, PACKED).select(*columns)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

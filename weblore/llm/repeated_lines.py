@@ -3,7 +3,8 @@
 Every line becomes a 64-bit hash of its wording inside the scan's Python stage, so only
 (source, hash, document, line number) is ever shuffled, never text. Documents are counted per
 (source, hash) in two steps (distinct documents, then a map-side combined count), so a line
-that stands in a third of all documents is not gathered anywhere.
+that stands in a third of all documents is not gathered anywhere. Pages are rebuilt in a second
+scan that meets the few frequent wordings of its source, so html is not shuffled either.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from weblore.llm.pagelines import body_lines, heading, visible, words
 from weblore.session import cut
 
 MIN_WORDS, MIN_PAGES, MIN_SHARE, SALTS = 6, 3, 0.10, 16
+MOST_WORDINGS = 1_000_000  # hashes or ids that may be broadcast (8 MB)
 HASHED = "page_id long, template string, line_no int, wording long"
 
 
@@ -108,23 +110,47 @@ def repeated_lines(
     ).select("page_id", F.col("line_no").cast("long").alias("line_no"))
 
 
-def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _drop_lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Pages (page_id, html, template, frequent wordings of the template) without the lines that bear one of them."""
     for batch in batches:
-        texts = []
-        for page, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            drop = set(gone or ())
-            texts.append(page if page is None or not drop else "\n".join(x for i, x in enumerate(page.split("\n"), 1) if i not in drop))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array([len(x or ()) for x in batch.column(2).to_pylist()], pa.int64())],
-            names=["page_id", "html", "n_removed"],
-        )
+        texts, removed, sets = [], [], {}
+        for page, template, frequent in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if not page or not frequent.is_valid:
+                texts.append(page)
+                removed.append(0)
+                continue
+            if template not in sets:
+                sets[template] = frozenset(frequent.as_py())
+            known = sets[template]
+            lines, first = body_lines(page)
+            title = words(heading(page)) if first < len(lines) else []
+            kept = [x for i, x in enumerate(lines) if i < first or len(x) < min_words or wording_hash(x, title, min_words) not in known]
+            texts.append(page if len(kept) == len(lines) else "\n".join(kept))
+            removed.append(len(lines) - len(kept))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "html", "n_removed"])
 
 
-def remove_repeated_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Each page once, rebuilt without the found lines: (page_id, html, n_removed).
+def remove_repeated_lines(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """Each page once, rebuilt without its repeated lines: (page_id, html, n_removed).
 
-    A page without found lines comes out as it is; a null page stays null.
+    A page without repeated lines comes out as it is; a null page stays null. Every version of a page loses
+    its own lines; of several versions of a page_id the largest rebuilt text is kept. Up to MOST_WORDINGS frequent
+    wordings are broadcast by source, more meet the pages by a salted join.
     """
-    once = pages.groupBy("page_id").agg(F.max("html").alias("html"))
-    gone = found.groupBy("page_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    return once.join(gone, "page_id", "left").mapInArrow(_drop_lines, "page_id long, html string, n_removed long")
+    pages = pages.select("page_id", "template", "html")
+    frequent = cut(frequent_wordings(cut(line_hashes(pages, min_words)), pages, min_pages, min_share))
+    by_source = frequent.groupBy(F.col("template").alias("t")).agg(F.sort_array(F.collect_set("wording")).alias("frequent"))  # a source has at most its lines a page / min_share
+    source = F.col("template").eqNullSafe(F.col("t"))
+    if frequent.count() <= MOST_WORDINGS:
+        met = pages.join(F.broadcast(by_source), source, "left")
+    else:
+        spread = by_source.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = pages.join(spread, source & (F.pmod("page_id", F.lit(SALTS)) == F.col("s")), "left")
+    rebuilt = lambda rows: rows.select("page_id", "html", "template", "frequent").mapInArrow(lambda it: _drop_lines(it, min_words), "page_id long, html string, n_removed long")
+    # only the pages that come several times are shuffled
+    several = cut(pages.groupBy("page_id").count().filter("count > 1").select(F.col("page_id").alias("p")))
+    several = F.broadcast(several) if several.count() <= MOST_WORDINGS else several
+    again = F.col("page_id").eqNullSafe(F.col("p"))
+    one = rebuilt(met.join(several, again, "left_anti"))
+    best = rebuilt(met.join(several, again, "left_semi")).groupBy("page_id").agg(F.max(F.struct("html", "n_removed")).alias("b"))
+    return one.unionByName(best.select("page_id", "b.html", "b.n_removed"))

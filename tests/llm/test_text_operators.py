@@ -17,15 +17,18 @@ def page(*lines):
     return "\n".join(["<html>", "<head></head>", "<body>", "<h1>Some Title</h1>", *lines, "</body>"])
 
 
-def test_repeated_lines(spark):
+def test_repeated_lines(spark, monkeypatch):
     notice = "<p>Please share this {} page with all your friends</p>"
     rows = [(i, "t", page(notice.format("Some Title"), f"<p>own text number {'x' * i} of this one page here</p>")) for i in range(1, 11)]
     rows += [(1, "t", rows[0][2]), (20, None, page("short")), (21, "t", None), (22, "t", ""), (23, "t", "no body at all")]
     df = spark.createDataFrame(rows, "page_id long, template string, html string").withColumn("wording", F.lit("clash"))
     found = {tuple(r) for r in repeated_lines.repeated_lines(df).collect()}
     assert found == {(i, 5) for i in range(1, 11)}
-    cleaned = {r.page_id: r for r in repeated_lines.remove_repeated_lines(df, repeated_lines.repeated_lines(df)).collect()}
-    assert "share this" not in cleaned[3].html and cleaned[3].n_removed == 1 and cleaned[21].html is None and len(cleaned) == 14
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(repeated_lines, "MOST_WORDINGS", most)
+        cleaned = {r.page_id: r for r in repeated_lines.remove_repeated_lines(df).collect()}
+        assert "share this" not in cleaned[3].html and cleaned[3].n_removed == 1 and cleaned[21].html is None and len(cleaned) == 14
+        assert cleaned[1].html == rows[0][2].replace(notice.format("Some Title") + "\n", "") and cleaned[23].html == "no body at all"
     assert repeated_lines.repeated_lines(df.limit(0)).collect() == []
 
 
@@ -61,6 +64,25 @@ def test_lost_characters_and_unknown_words(spark):
     assert encoding_repair.garbled_records(encoding_repair.scan_tokens(df.limit(0), "s", False)).collect() == []
 
 
+def test_all_chains_of_known_words_are_found_and_swapped_at_word_bounds(spark, monkeypatch):
+    broken, k = {}, 1000
+    for chain in [("cp437",) * 3, ("mac_roman", "cp1250"), ("cp850", "latin-1"), ("koi8_r",)]:
+        text = "Thérèse"
+        for encoding in chain:
+            text = encoding_repair._to_text(text.encode(), encoding)
+        broken[k], k = text, k + 1
+    rows = [(1, "Thérèse walked"), (2, None)] + [(i, f"({t}), x{t}x {t}") for i, t in broken.items()]
+    df = spark.createDataFrame(rows, "rec_id long, text string")
+    garbled = encoding_repair.garbled_records(encoding_repair.scan_tokens(df, "s", False))
+    want = {i: f"(Thérèse), x{t}x Thérèse" for i, t in broken.items()}
+    for most in (200_000, 0):
+        monkeypatch.setattr(encoding_repair, "MOST_SWAPS", most)
+        restored = {r.rec_id: r.restored for r in encoding_repair.restore(df, garbled.filter(F.col("original") == "Thérèse"), "s", False).collect()}
+        assert restored == want
+    word = "naïve"
+    assert spark.range(1).select(F.xxhash64(F.lit(word))).first()[0] == encoding_repair.form_hash(word)
+
+
 def test_a_decoded_quote_is_not_decoded_again():
     assert encoding_repair.inverse("dâ€™Ã©tÃ©")[0] == "d’été"
 

@@ -3,10 +3,13 @@
 One scan emits, per input batch, the distinct words with non-ASCII characters (the clean
 corpus candidates) and the suspicious tokens of each record: a garbled character always
 leaves at least two adjacent non-ASCII characters, or U+FFFD. From then on only small token
-tables are shuffled. Garbled forms of every distinct clean word under all chains are
-hash-joined with the distinct suspicious tokens. A token whose clean word never occurs in
-the corpus is decoded by the inverse chain; the result is accepted if the letter case fits the
-word and every decoded character is a letter whose bytes leave no doubt or attested in clean words.
+tables are shuffled. Garbled forms of every distinct clean word under all chains (every two
+encodings, and one encoding up to MAX_ROUNDS times) travel as hashes and are joined with the
+distinct suspicious tokens; a match is verified by garbling its word again. A token whose clean
+word never occurs in the corpus is decoded by the inverse chain; the result is accepted if the
+letter case fits the word and every decoded character is a letter whose bytes leave no doubt or
+attested in clean words. Restoring is a second scan that swaps the garbled tokens; texts are
+not shuffled but for those of affected records.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +30,13 @@ UTF8_MISREADINGS = ("cp1252", "latin-1", "mac_roman", "cp1251", "cp1250", "iso88
 # Fixed values: (written in, read in) of single-byte Cyrillic text.
 BYTE_MISREADINGS = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"))
 MAX_ROUNDS = 3
+MOST_SWAPS = 200_000  # distinct garbled tokens that may travel with a scan (some 10 MB)
 MIN_WORDS = 2  # a character counts as attested from this many clean words on, whatever the size of the corpus
 # Letters of these ranges need no attestation where the bytes leave no doubt: Latin, Greek, Cyrillic.
 LATIN, OTHER_LETTERS = re.compile("[A-Za-z\u00c0-\u024f]"), re.compile("[\u0370-\u03ff\u0400-\u045f]")
 LOST = "�"
 EDGE = "“”«»„‘’…—–¿¡"
-BLANKS = re.compile(r"[ \t\r\n\f\v]+")
+BLANKS, WORDS = re.compile(r"[ \t\r\n\f\v]+"), re.compile(r"[^ \t\r\n\f\v]+")
 RUN = re.compile(r"[^\x00-\x7f]+")
 PAIR = re.compile(r"[^\x00-\x7f]{2}|�")
 CONTROL = re.compile("[\u0080-\u009f]")
@@ -77,15 +82,24 @@ def _one(byte: int, encoding: str) -> str:
         return chr(byte)
 
 
+def chains() -> list[tuple[str, ...]]:
+    """All chains of misreadings that are tried forward; a later chain never replaces an earlier one's form."""
+    rounds = [(e,) * k for k in range(1, MAX_ROUNDS + 1) for e in UTF8_MISREADINGS]
+    return rounds + [(a, b) for a in UTF8_MISREADINGS for b in UTF8_MISREADINGS if a != b]
+
+
 def garbled_forms(word: str) -> dict[str, str]:
     """Garbled form -> chain, for every chain that changes the word."""
     forms: dict[str, str] = {}
-    for encoding in UTF8_MISREADINGS:
-        text = word
-        for k in range(1, MAX_ROUNDS):
-            text = _to_text(text.encode("utf-8", "surrogatepass"), encoding)
-            if text != word:
-                forms.setdefault(text, "+".join([encoding] * k))
+    once = {e: _to_text(word.encode("utf-8", "surrogatepass"), e) for e in UTF8_MISREADINGS}
+    known: dict[tuple[str, ...], str] = {(e,): t for e, t in once.items()}
+    step: dict[tuple[bytes, str], str] = {}
+    for chain in chains():
+        if chain not in known:
+            raw = known[chain[:-1]].encode("utf-8", "surrogatepass")
+            known[chain] = step[raw, chain[-1]] if (raw, chain[-1]) in step else step.setdefault((raw, chain[-1]), _to_text(raw, chain[-1]))
+        if known[chain] != word:
+            forms.setdefault(known[chain], "+".join(chain))
     for written, read in BYTE_MISREADINGS:
         try:
             text = _to_text(word.encode(written), read)
@@ -201,9 +215,31 @@ def _scan(batches: Iterator[pa.RecordBatch], src: str, is_page: bool) -> Iterato
 
 
 def _garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash of the garbled form, clean word) of every form of every word."""
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        for at in range(0, len(words), 2000):
+            rows = [(form_hash(form), word) for word in words[at : at + 2000] for form in garbled_forms(word)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["form", "original"])
+
+
+def form_hash(form: str) -> int:
+    """The engine's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, original, other, chain) of the matches whose word really has the token as a garbled form."""
     for batch in batches:
-        rows = [(form, word, chain) for word in batch.column(0).to_pylist() for form, chain in garbled_forms(word).items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["garbled", "original", "chain"])
+        out = []
+        for token, word, other in zip(*(c.to_pylist() for c in batch.columns)):
+            forms = garbled_forms(word)
+            if token in forms:
+                out.append((token, word if word == other else None, forms[token]))
+            elif word != other and token in (forms := garbled_forms(other)):  # the smaller word only shares the hash
+                out.append((token, other, forms[token]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["token", "original", "chain"])
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +277,10 @@ def garbled_tokens(scanned: DataFrame) -> DataFrame:
     the smallest is not chosen: the token then stays garbled with original null.
     """
     words = scanned.filter("rec_id is null").select("token").distinct().mapInArrow(_is_clean, "word string")
-    table = words.mapInArrow(_garble, "garbled string, original string, chain string")
-    table = table.groupBy("garbled").agg(F.min("original").alias("original"), F.max("original").alias("other"), F.min("chain").alias("chain"))
+    table = words.mapInArrow(_garble, "form long, original string").groupBy("form").agg(F.min("original").alias("original"), F.max("original").alias("other"))
     tokens = cut(scanned.filter("rec_id is not null").select("token").distinct())
-    matched = cut(tokens.join(table, F.col("token") == F.col("garbled")).select(
-        "token", F.when(F.col("original") == F.col("other"), F.col("original")).alias("original"), "chain"))
+    met = tokens.withColumn("form", F.xxhash64("token")).join(table, "form").select("token", "original", "other")
+    matched = cut(met.mapInArrow(_verify, "token string, original string, chain string"))
     counts = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
     attested = counts.filter(F.col("n") >= MIN_WORDS).select("char")
     inverted = cut(tokens.join(matched.select("token"), "token", "left_anti").mapInArrow(_invert, "token string, original string, chain string, chars array<string>"))
@@ -263,19 +298,54 @@ def garbled_records(scanned: DataFrame) -> DataFrame:
     return scanned.filter("rec_id is not null").distinct().join(found, "token").select("src_table", "rec_id", "token", "original", "chain")
 
 
-def _substitute(batches: Iterator[pa.RecordBatch], is_page: bool) -> Iterator[pa.RecordBatch]:
+def swapped(text: str, swaps: dict[str, str]) -> str:
+    """The text with every garbled token replaced at its own bounds: whole words between blanks, punctuation and quotes kept."""
+    out, at = [], 0
+    for m in WORDS.finditer(text):
+        word = m.group()
+        if not word.isascii() and (inner := core(word)) in swaps:
+            begin = word.index(inner)
+            out += [text[at : m.start()], word[:begin], swaps[inner], word[begin + len(inner) :]]
+            at = m.end()
+    return "".join(out) + text[at:] if out else text
+
+
+def _restore(batches: Iterator[pa.RecordBatch], is_page: bool, swaps: dict[str, str | None]) -> Iterator[pa.RecordBatch]:
+    """The affected records of a scan, their garbled tokens swapped; a token with null is affected but stays."""
+    usable = {k: v for k, v in swaps.items() if v is not None}
+    for batch in batches:
+        ids, texts = [], []
+        for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not text or (text.isascii() and not (is_page and "&" in text)):
+                continue
+            text = page_text(text) if is_page else text
+            if not text.isascii() and any(not w.isascii() and core(w) in swaps for w in BLANKS.split(text)):
+                ids.append(rec)
+                texts.append(swapped(text, usable))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["rec_id", "restored"])
+
+
+def _restore_listed(batches: Iterator[pa.RecordBatch], is_page: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for text, swaps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            text = page_text(text) if is_page and text else text
-            for swap in sorted(swaps or (), key=lambda s: -len(s["token"])):
-                text = text.replace(swap["token"], swap["original"])
-            texts.append(text)
+            texts.append(swapped(page_text(text) if is_page and text else text, {s["token"]: s["original"] for s in swaps or ()}))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["rec_id", "restored"])
 
 
 def restore(records: DataFrame, garbled: DataFrame, src: str, is_page: bool) -> DataFrame:
-    """(src_table, rec_id, restored) of the affected records; what cannot be restored stays as it is."""
-    once = records.toDF("rec_id", "text").groupBy("rec_id").agg(F.max("text").alias("text"))
-    swaps = garbled.filter(F.col("src_table") == src).groupBy("rec_id").agg(F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "original"))).alias("swaps"))
-    return once.join(swaps, "rec_id").mapInArrow(lambda it: _substitute(it, is_page), "rec_id long, restored string").select(F.lit(src).alias("src_table"), "rec_id", "restored")
+    """(src_table, rec_id, restored) of the affected records; what cannot be restored stays as it is.
+
+    garbled: as from garbled_records. Up to MOST_SWAPS distinct tokens travel with the scan, so only the affected
+    records are shuffled, to drop repeats; beyond that the records meet their own tokens by a join.
+    """
+    own = garbled.filter(F.col("src_table") == src)
+    distinct = cut(own.groupBy("token").agg(F.max("original").alias("original")))
+    records = records.toDF("rec_id", "text")
+    if distinct.count() <= MOST_SWAPS:
+        swaps = {r.token: r.original for r in distinct.collect()}
+        found = records.mapInArrow(lambda it: _restore(it, is_page, swaps), "rec_id long, restored string").groupBy("rec_id").agg(F.max("restored").alias("restored"))
+    else:
+        lists = own.groupBy("rec_id").agg(F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "original"))).alias("swaps"))
+        found = records.groupBy("rec_id").agg(F.max("text").alias("text")).join(lists, "rec_id").mapInArrow(lambda it: _restore_listed(it, is_page), "rec_id long, restored string")
+    return found.select(F.lit(src).alias("src_table"), "rec_id", "restored")

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "webpage", "page_id", "template", "html")
-    return repeated_lines.remove_repeated_lines(pages, repeated_lines.repeated_lines(pages))
+    return repeated_lines.remove_repeated_lines(pages)
 
 
 def _text_tokens(spark: SparkSession, folder: str) -> DataFrame:

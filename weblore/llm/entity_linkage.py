@@ -1,11 +1,11 @@
 """Problem 5: records and knowledge-base nodes that name the same thing, without a shared key.
 
-Collective linkage: distinct names and nodes meet in hashed name keys (candidate graph), an
-edge's weight falls with the number of nodes that share the key, and each name keeps only its
-strongest kind of agreement (meta-blocking by the best weight of the name). Then evidence is
-propagated: a page's topic is supported by the knowledge-base neighbours that the page's
-objects name, an object with several candidates by its link to the topic, until nothing
-changes. Names are matched once per distinct value; values that fill a large share of all
+Collective linkage: distinct names and nodes meet in hashed name keys (candidate graph). An edge
+weighs the sum over the keys that both share, each by its kind of agreement and the less the more
+nodes share it; each name keeps only its heaviest edges (meta-blocking by the best weight of the
+name). Then evidence is propagated: a page's topic is supported by the knowledge-base neighbours
+that the page's objects name, an object with several candidates by its link to the topic, until no
+row changes. Names are matched once per distinct value; values that fill a large share of all
 rows are joined back by a broadcast of at most HOT_VALUES values, the others by hash.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from weblore.llm.encoding_repair import LOST, PAIR, core, inverse
 from weblore.session import cut
 
-HOT_VALUES, MIN_FACTS, MAX_ROUNDS = 200, 2, 6
+HOT_VALUES, MIN_FACTS = 200, 2
 MIN_TYPO_LENGTH = 6
 # Words around names that are no part of them.
 TITLES = frozenset("mr mrs ms dr prof sir".split())
@@ -179,10 +179,11 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(values: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(value_id, node_id, kind, weight): for each value the nodes of its strongest kind of agreement.
+    """(value_id, node_id, kind, weight): for each value the nodes of its heaviest edges.
 
-    values: (value_id, text); nodes: (node_id, text). The weight falls with the number of
-    nodes under the key. The key tables of values and nodes are joined by hash.
+    values: (value_id, text); nodes: (node_id, text). Every shared key adds its kind's strength over
+    1 + ln(nodes under the key); weight is the largest of these parts. Names one slip apart are looked
+    for only where no key is shared. The key tables of values and nodes are joined by hash.
     """
     named = nodes.select(F.col("node_id").alias("ident"), "text")
     node_keys = keyed(named, True).distinct().withColumn("shared", F.count("*").over(W.partitionBy("kind", "key"))).select(F.col("ident").alias("node_id"), "kind", "key", "shared")
@@ -194,11 +195,11 @@ def candidates(values: DataFrame, nodes: DataFrame) -> DataFrame:
     weak = texts.select("value_id", "node_id", "text", "node_text").mapInArrow(_check, "value_id long, node_id long").distinct()
     weak = weak.select("value_id", "node_id", F.lit(len(KINDS) - 1).cast("byte").alias("kind"), F.count("*").over(W.partitionBy("value_id")).alias("shared"))
     strength = F.element_at(F.array(*(F.lit(WEIGHT[k]) for k in KINDS)), F.col("kind") + 1)
-    graph = strong.unionByName(weak).withColumn("strength", strength)
-    best = graph.groupBy("value_id").agg(F.max("strength").alias("best"))
-    kept = graph.join(best, "value_id").filter("strength = best")
-    return kept.groupBy("value_id", "node_id").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"), F.min("shared").alias("shared")).select(
-        "value_id", "node_id", "kind", (F.col("strength") / (1 + F.log(F.col("shared").cast("double")))).alias("weight"))
+    parts = strong.unionByName(weak).groupBy("value_id", "node_id", "kind").agg(F.min("shared").alias("shared"))
+    edges = parts.withColumn("part", strength / (1 + F.log(F.col("shared").cast("double")))).groupBy("value_id", "node_id").agg(
+        F.min("kind").alias("kind"), F.max("part").alias("weight"), F.round(F.sum("part"), 9).alias("whole"))
+    best = edges.groupBy("value_id").agg(F.max("whole").alias("best"))
+    return edges.join(best, "value_id").filter("whole = best").select("value_id", "node_id", "kind", "weight")
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch], is_node: bool) -> Iterator[pa.RecordBatch]:
@@ -240,19 +241,19 @@ def link(pairs: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataFrame)
     edges: source_id, dest_id. Null and blank names match nothing, repeated rows count once.
     webpage: nodes with links whose name agrees with the topic and of whose neighbours at least
     MIN_FACTS are named by objects of the page; of several the best supported (ties: all).
-    candidate_pairs: nodes without links of their own whose name agrees; of several those linked
-    with the page's topic, and if none is, no node.
+    candidate_pairs: nodes whose name agrees, but for those that only link to others and are never linked to (the
+    knowledge base's subjects); of several those linked with the page's topic, and if none is, no node.
     """
     nodes = cut(nodes.filter("node_id is not null and trim(node_text) <> ''").select("node_id", F.col("node_text").alias("text")).distinct())
     edges = cut(edges.filter("source_id is not null and dest_id is not null").select("source_id", "dest_id").distinct())
     subjects = edges.select(F.col("source_id").alias("node_id")).distinct()
     topics = nodes.join(subjects, "node_id", "left_semi")
-    things = nodes.join(subjects, "node_id", "left_anti")
+    things = nodes.join(subjects.join(edges.select(F.col("dest_id").alias("node_id")), "node_id", "left_anti"), "node_id", "left_anti")
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
 
     named = pairs.filter("pair_id is not null and obj_text is not null").select("pair_id", "page_id", tidy("obj_text").alias("text")).filter("text <> ''").dropDuplicates(["pair_id"])
     named = cut(named.withColumn("value_id", F.xxhash64("text")))
-    values = named.groupBy("value_id").agg(F.min("text").alias("text")).filter(F.col("text").rlike(r"\p{L}{2}|^\W*\d{4}\W*$"))
+    values = named.groupBy("value_id").agg(F.min("text").alias("text"))
     objects = cut(join_back(named.select("pair_id", "page_id", "value_id"), cut(candidates(values, things))).select("pair_id", "page_id", "node_id", "weight"))
 
     titled = pages.filter("page_id is not null and topic_text is not null").select("page_id", tidy("topic_text").alias("text")).filter("text <> ''").distinct()
@@ -261,8 +262,11 @@ def link(pairs: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataFrame)
     headed = cut(join_back(titled.select("page_id", "value_id"), cut(candidates(titles, topics))).groupBy("page_id", "node_id").agg(F.max("weight").alias("weight")))
     facts = cut(headed.join(edges, headed.node_id == edges.source_id).select("page_id", "node_id", "dest_id"))
 
+    def marks(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
+
     alive, before = objects, None
-    for _ in range(MAX_ROUNDS):
+    while True:  # candidates only ever drop out, so this ends
         shown = alive.select("page_id", F.col("node_id").alias("dest_id")).distinct()
         support = facts.join(shown, ["page_id", "dest_id"]).groupBy("page_id", "node_id").agg(F.count("*").alias("facts")).filter(F.col("facts") >= MIN_FACTS)
         whole = support.select("page_id").distinct()
@@ -275,13 +279,11 @@ def link(pairs: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataFrame)
         per = W.partitionBy("pair_id")
         judged = judged.withColumns({"any": F.max("linked").over(per), "of": F.count("*").over(per)})
         alive = cut(judged.filter("linked is not null or any is null").select("pair_id", "page_id", "node_id", "weight", "linked", "of"))
-        now = (alive.count(), topic.count())
+        now = (marks(alive), marks(topic))
         if now == before:
             break
         before = now
         alive = alive.drop("linked", "of")
-    else:
-        alive = alive.withColumns({"linked": F.lit(None).cast("int"), "of": F.count("*").over(W.partitionBy("pair_id"))})
     pair_links = alive.filter("linked is not null or of = 1").select(
         F.lit("candidate_pairs").alias("src_table"), F.col("pair_id").alias("rec_id"), "node_id", F.least(F.col("weight") + F.when(F.col("linked").isNotNull(), 0.2).otherwise(0.0), F.lit(1.0)).alias("confidence"))
     page_links = topic.join(headed, ["page_id", "node_id"], "left").select(

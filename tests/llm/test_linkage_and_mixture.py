@@ -17,6 +17,10 @@ def test_names():
     assert el.folded("Dr. Søren Ängström GmbH") == ["soren", "angstrom"] and el.raw_words("quarry for x a")[0] == "a"
 
 
+def test_parts_of_a_number_name_no_year():
+    assert el.name_keys("(1995)", False) == el.name_keys("1995", True) == [("name", "1995")] != el.name_keys("$19.95", False)
+
+
 def test_links(spark):
     nodes = spark.createDataFrame([(1, "The Old Mill"), (2, "The Old Mill"), (10, "Jane Doehler"), (11, "1990"), (12, "Jane Doehler"), (13, "Drama"), (14, None), (15, " "), (10, "Jane Doehler")], "node_id long, node_text string")
     edges = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, 13), (2, None), (1, 10)], "source_id long, dest_id long")

@@ -94,6 +94,8 @@ def name_keys(text: str, is_node: bool) -> list[tuple[str, str]]:
     if not words:
         return []
     whole = "".join(words)
+    if whole.isdecimal():  # parts of a number are no spelling of another number
+        return [("name", " ".join(words))]
     keys = [("name", whole)] if LOST not in whole else []
     short = [w for i, w in enumerate(words) if len(w) > 1 or i in (0, len(words) - 1)]
     letters = sum(c.isalpha() for c in whole)

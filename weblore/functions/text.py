@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weblore.functions.stem import STOP_WORDS, stemmed
+
 # Characters that cleaning deletes, literals that count as true.
 DELETED = "\"\\/',;.|-:$"
 TRUE_LITERALS = ("true", "1", "t", "y", "yes", "True", "TRUE")
@@ -45,6 +47,19 @@ def alike(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), F.lit(False)).when(total - gap < least * total, F.lit(False)).otherwise(similarity(x, y) >= least)
 
 
+def core_words(text: Column, other: Column) -> Column:
+    """The text as alike_meaning compares it: brackets left out if both texts keep something, else only the bracket signs;
+    cleaned, without stop words, stemmed."""
+    bare, bare_other = without_brackets(text), without_brackets(other)
+    flat = F.when((bare != "") & (bare_other != ""), bare).otherwise(F.translate(text, "()", ""))
+    return stemmed(F.array_join(without_stop_words(words(clean(flat)), list(STOP_WORDS)), " "))
+
+
+def alike_meaning(a: Column, b: Column) -> Column:
+    """Fuzzy equality of two texts without regard to brackets, stop words and endings."""
+    return alike(core_words(a, b), core_words(b, a))
+
+
 def hash_id(text: Column, digits: int = 16) -> Column:
     """SHA-1 of the text as an integer modulo 10^digits (digits up to 16)."""
     value, modulus = F.lit(0).cast("decimal(38,0)"), 10**digits

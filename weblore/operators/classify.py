@@ -10,6 +10,8 @@ from weblore.functions.text import tag_of
 from weblore.operators.similarity import SIDES, gated_clusters, style_key
 from weblore.session import cut
 
+# Places of a template's seeded order that a seed looks at before all of them.
+LOOK_AHEAD = 64
 FEATURES = ("same_dom", "dom_distance", "min_h", "min_v", "above_left", "obj_tag", "pred_tag")
 
 
@@ -19,7 +21,11 @@ def label_codes(values: DataFrame, column: str, by: str | None = None) -> DataFr
     distinct = values.filter(F.col(column).isNotNull()).select(*keys, column).distinct()
     if by:
         return distinct.withColumn("code", F.row_number().over(W.partitionBy(by).orderBy(column)) - 1)
-    return distinct.withColumn("code", F.row_number().over(W.partitionBy(F.length(column) * 0).orderBy(column)) - 1)
+    # ranges of values: counted, then numbered inside each range, so no task holds all values
+    spread = cut(distinct.repartitionByRange(distinct.sparkSession.sparkContext.defaultParallelism, column).withColumn("part", F.spark_partition_id()))
+    starts = spread.groupBy("part").count().select("part", (F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("part")) - F.col("count")).alias("start"))  # one row per range
+    own = F.row_number().over(W.partitionBy("part").orderBy(column)) - 1
+    return spread.withColumn("own", own).join(F.broadcast(starts), "part").select(column, (F.col("own") + F.col("start")).cast("int").alias("code"))
 
 
 def largest_offset(pairs: DataFrame) -> DataFrame:
@@ -56,23 +62,45 @@ def training_set(pairs: DataFrame, seeds: DataFrame, negatives: int = 5, seed: i
     """pairs with label 1 (seed pairs) and 0 (other candidates of a seed's object, and for each seed
     up to `negatives` pairs of its template with another object and another predicate, drawn by a seeded hash).
 
-    seeds: page_id, obj_xpath, pred_xpath. Each seed draws from one of 256 hash slices of its
-    template, so no seed meets all pairs of it. `by` names a column of seeds: each of its values gets its
+    seeds: page_id, obj_xpath, pred_xpath. The pairs of a template stand in a seeded order, numbered by hash
+    range; a seed starts at a seeded place and takes the next ones that differ in object and predicate, looking
+    LOOK_AHEAD places on, round the end of the order, and the whole template where that gives too few. So no seed meets
+    all pairs of a large template and small ones lose none. `by` names a column of seeds: each of its values gets its
     own training set, and no seed pair is drawn for another one's.
     """
     keys, own = ["page_id", "obj_xpath"], [by] if by else []
     chosen = seeds.select(*keys, F.col("pred_xpath").alias("seed_pred"), *own).distinct()
     of_object = pairs.join(chosen, keys)
     near = of_object.withColumn("label", (F.col("pred_xpath") == F.col("seed_pred")).cast("int")).groupBy("pair_id", "rank", *own).agg(F.max("label").alias("label"))
-    slices = 256
-    draw = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(slices))
-    seeded = of_object.filter("pred_xpath = seed_pred").select("template", F.col("obj_xpath").alias("so"), F.col("pred_xpath").alias("sp"), F.xxhash64("pair_id", "rank").alias("sid"), draw("pair_id").alias("slice"), *own).distinct()
-    pool = pairs.select("template", "pair_id", "rank", "obj_xpath", "pred_xpath", draw("obj_text", "pair_id", "rank").alias("slice"))
+    pool = pairs.select("template", "pair_id", "rank", "obj_xpath", "pred_xpath")
     if by:
         pool = pool.join(near.filter("label = 1").select("pair_id", "rank").distinct(), ["pair_id", "rank"], "left_anti")
-    met = seeded.join(pool, ["template", "slice"]).filter("obj_xpath <> so and pred_xpath <> sp")
-    order = W.partitionBy("sid", *own).orderBy(F.xxhash64(F.lit(seed), "sid", "pair_id", "rank"), "pair_id", "rank")
-    far = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= negatives).select("pair_id", "rank", *own).distinct().withColumn("label", F.lit(0))
+    pool = pool.withColumn("h", F.xxhash64(F.lit(seed), "pair_id", "rank")).withColumn("part", F.shiftrightunsigned("h", 56))
+    sizes = pool.groupBy("template", "part").agg(F.count("*").alias("n"))  # at most 256 rows a template
+    over = W.partitionBy("template")
+    starts = sizes.select(F.col("template").alias("t"), F.col("part").alias("p"), (F.sum("n").over(over.orderBy("part")) - F.col("n")).alias("start"), F.sum("n").over(over).alias("of"))
+    inside = F.row_number().over(W.partitionBy("template", "part").orderBy("h", "pair_id", "rank")) - 1
+    pool = cut(pool.withColumn("inside", inside).join(starts, F.col("template").eqNullSafe(F.col("t")) & (F.col("part") == F.col("p"))).select(
+        "template", "pair_id", "rank", "obj_xpath", "pred_xpath", (F.col("start") + F.col("inside")).alias("place"), "of"))
+    totals = pool.groupBy("template").agg(F.max("of").alias("of"))
+    seeded = of_object.filter("pred_xpath = seed_pred").select("template", F.col("obj_xpath").alias("so"), F.col("pred_xpath").alias("sp"), F.xxhash64("pair_id", "rank").alias("sid"), *own).distinct()
+    seeded = seeded.join(totals.withColumnRenamed("template", "t"), F.col("template").eqNullSafe(F.col("t"))).drop("t").withColumn("begin", F.pmod(F.xxhash64(F.lit(seed), "sid"), F.col("of")))
+
+    def drawn(which: DataFrame, far: int | None) -> DataFrame:
+        """Of each seed's next `far` places (None: all) the first `negatives` that differ."""
+        if far is None:
+            met = which.withColumnRenamed("of", "o").join(pool, "template").withColumn("step", F.pmod(F.col("place") - F.col("begin"), F.col("of")))
+        else:
+            ahead = which.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(far).cast("long"), F.col("of")) - 1)))
+            ahead = ahead.withColumn("place", F.pmod(F.col("begin") + F.col("step"), F.col("of"))).drop("of")
+            met = ahead.join(pool.drop("of"), ["template", "place"])
+        met = met.filter("obj_xpath <> so and pred_xpath <> sp")
+        return met.withColumn("n", F.row_number().over(W.partitionBy("sid", *own).orderBy("step", "pair_id", "rank"))).filter(F.col("n") <= negatives)
+
+    first = cut(drawn(seeded, LOOK_AHEAD).select("sid", *own, "pair_id", "rank"))
+    enough = first.groupBy("sid", *own).count().filter(F.col("count") >= negatives).select("sid", *own)
+    rest = drawn(seeded.filter(F.col("of") > LOOK_AHEAD).join(enough, ["sid", *own], "left_anti"), None).select("sid", *own, "pair_id", "rank")
+    far = first.unionByName(rest).select("pair_id", "rank", *own).distinct().withColumn("label", F.lit(0))
     return near.unionByName(far).groupBy("pair_id", "rank", *own).agg(F.max("label").alias("label"))
 
 

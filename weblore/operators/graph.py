@@ -83,7 +83,7 @@ def multi_rank_walk(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, r
     return ranks.groupBy("node").agg(F.max(order).alias("best")).select("node", F.col("best.class").alias("label"))
 
 
-def louvain(edges: list[tuple[int, int, float]], nodes: list[int], passes: int = 20) -> dict[int, int]:
+def louvain(edges: list[tuple[int, int, float]], nodes: list[int]) -> dict[int, int]:
     """Communities of one graph by modularity (Blondel et al., 2008), deterministic: nodes by ascending id,
     moves on strictly positive gain, the lowest community on ties. Isolated nodes stay alone."""
     member = {n: n for n in nodes}
@@ -99,7 +99,8 @@ def louvain(edges: list[tuple[int, int, float]], nodes: list[int], passes: int =
         degree = {n: sum(m.values()) + m.get(n, 0.0) for n, m in links.items()}
         weight = dict(degree)
         moved_any = False
-        for _ in range(passes):
+        moved = True
+        while moved:  # each move raises the modularity, so this ends
             moved = False
             for n in sorted(links):
                 near: dict[int, float] = defaultdict(float)
@@ -116,8 +117,6 @@ def louvain(edges: list[tuple[int, int, float]], nodes: list[int], passes: int =
                 weight[best] += degree[n]
                 if best != here:
                     group[n], moved, moved_any = best, True, True
-            if not moved:
-                break
         if not moved_any:
             break
         names: dict[int, int] = {}
@@ -137,7 +136,7 @@ def louvain(edges: list[tuple[int, int, float]], nodes: list[int], passes: int =
     return member
 
 
-def dense_louvain(row: Callable[[int], np.ndarray], n: int, total: float, passes: int = 20) -> np.ndarray:
+def dense_louvain(row: Callable[[int], np.ndarray], n: int, total: float) -> np.ndarray:
     """The community of each of n nodes of a dense graph, named by its smallest node; rules as in louvain.
 
     row: weights from one node to all n, itself 0; total: sum of all degrees of the whole graph, of
@@ -150,7 +149,8 @@ def dense_louvain(row: Callable[[int], np.ndarray], n: int, total: float, passes
         size = len(degree)
         group, weight = np.arange(size), degree.copy()
         moved_any = False
-        for _ in range(passes):
+        moved = True
+        while moved:
             moved = False
             for i in range(size):
                 near = np.bincount(group, row(i), minlength=size)
@@ -163,8 +163,6 @@ def dense_louvain(row: Callable[[int], np.ndarray], n: int, total: float, passes
                 weight[best] += degree[i]
                 if best != here:
                     group[i], moved, moved_any = best, True, True
-            if not moved:
-                break
         if not moved_any:
             break
         first = np.full(size, size)

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weblore.functions.stem import stemmed
 from weblore.functions.text import clean
 
 
-def page_terms(strings: DataFrame) -> DataFrame:
-    """Distinct (template, page_id, term) of (template, page_id, text): cleaned, empty ones dropped."""
-    return strings.select("template", "page_id", clean(F.col("text")).alias("term")).filter("term <> ''").distinct()
+def page_terms(strings: DataFrame, stems: bool = False) -> DataFrame:
+    """Distinct (template, page_id, term) of (template, page_id, text): cleaned, empty ones dropped.
+
+    stems: words by their stems; the distinct cleaned texts are stemmed, not each occurrence.
+    """
+    terms = strings.select("template", "page_id", clean(F.col("text")).alias("term")).filter("term <> ''").distinct()
+    return terms.select("template", "page_id", stemmed(F.col("term")).alias("term")).distinct() if stems else terms
 
 
 def term_frequency(terms: DataFrame) -> DataFrame:

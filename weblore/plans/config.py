@@ -19,6 +19,7 @@ class Config:
     common_text_below: float = 0.50
     least_text_length: int = 3
     search_longest: int = 300
+    strict_search: bool = False  # node texts must equal the page text instead of containing it
     use_ground_truth: bool = True
     topic_drop_from: int = 3
     least_predicate_freq: float = 0.10
@@ -32,4 +33,3 @@ class Config:
     middle_share: float = 0.9
     negatives_per_seed: int = 5
     crowd_pairs: int = 5
-    walk_damping: float = 0.85

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblore.functions.text import alike, clean, dom_distance, tag_of
+from weblore.functions.stem import stemmed
+from weblore.functions.text import alike_meaning, clean, dom_distance, tag_of
 from weblore.operators import candidates, classify, crowd, evaluate, kb, layout, seeds, term_index, topic
 from weblore.operators.similarity import gated_clusters
 from weblore.plans.config import Config
@@ -52,19 +53,20 @@ def run(store: StageStore, pages: DataFrame, kb_nodes: DataFrame, kb_edges: Data
     nodes = put("nodes", html_nodes.nodes(pages))
     boxes = put("node_boxes", boxes if boxes is not None else approximate_boxes(nodes))
     strings = html_nodes.text_strings(nodes).join(homes, "page_id")
-    freq = put("term_freq", term_index.term_frequency(term_index.page_terms(strings)))
-    texts = html_nodes.text_nodes(nodes).join(homes, "page_id").withColumn("term", clean(F.col("text"))).filter("term <> ''")
+    freq = put("term_freq", term_index.term_frequency(term_index.page_terms(strings, stems=True)))
+    texts = html_nodes.text_nodes(nodes).join(homes, "page_id").withColumn("term", stemmed(clean(F.col("text")))).filter("term <> ''")
     rated = put("text_nodes", term_index.normalized(texts, freq, pages).select("page_id", "template", "ord", "xpath", "text", "term", "freq", "ancestor_tags"))
 
     named = kb_nodes.select("node_id", F.col("node_text")).distinct()
-    found = kb.search_exact(term_index.without_common(rated, c.common_text_below, c.least_text_length).select("text"), named, c.search_longest)
+    searched = term_index.without_common(rated, c.common_text_below, c.least_text_length).select("text")
+    found = kb.search_exact(searched, named, c.search_longest) if c.strict_search else kb.search_phrase(searched, named, longest=c.search_longest)
     entities = put("page_entities", rated.join(found, "text").select("page_id", "template", "ord", "xpath", "node_id", "text").distinct())
     edges = kb_edges.distinct()
     scores = put("topic_scores", topic.jaccard_scores(entities, edges))
     if c.use_ground_truth:  # only candidates that fuzzily bear the page's true name, where it is known
         truth = pages.select("page_id", "topic_text")
         names = named.groupBy("node_id").agg(F.min("node_text").alias("node_text"))
-        scores = scores.join(names, "node_id").join(truth, "page_id").filter(F.col("topic_text").isNull() | alike(clean(F.col("node_text")), clean(F.col("topic_text")))).select("page_id", "node_id", "score")
+        scores = scores.join(names, "node_id").join(truth, "page_id").filter(F.col("topic_text").isNull() | alike_meaning(F.col("node_text"), F.col("topic_text"))).select("page_id", "node_id", "score")
     first = topic.best_topic(scores)
     labels = kb.clean_nodes(named).groupBy("node_id").agg(F.min("node_text").alias("topic_text"))
     dropped = topic.frequent_topics(homes.join(first.join(labels, "node_id", "left"), "page_id", "left"), c.topic_drop_from)
@@ -78,7 +80,7 @@ def run(store: StageStore, pages: DataFrame, kb_nodes: DataFrame, kb_edges: Data
 
     placed = rated.join(boxes.select("page_id", "xpath", layout.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("b")), ["page_id", "xpath"])
     topical = placed.join(topic_names.select("page_id", "topic_text"), "page_id", "left")
-    objects = topical.filter(candidates.is_object(F.col("term"), F.col("freq"), F.col("ancestor_tags"), F.col("topic_text"), c.most_object_freq)).select("page_id", F.col("ord").alias("obj"), F.col("xpath").alias("obj_xpath"), F.col("text").alias("obj_text"), F.col("freq").alias("o_freq"), F.col("b").alias("o_box"))
+    objects = topical.filter(candidates.is_object(clean(F.col("text")), F.col("freq"), F.col("ancestor_tags"), F.col("topic_text"), c.most_object_freq)).select("page_id", F.col("ord").alias("obj"), F.col("xpath").alias("obj_xpath"), F.col("text").alias("obj_text"), F.col("freq").alias("o_freq"), F.col("b").alias("o_box"))
     preds = placed.filter(~candidates.drawn(F.col("xpath"))).select("page_id", F.col("ord").alias("pred"), F.col("xpath").alias("pred_xpath"), F.col("text").alias("pred_text"), F.col("freq").alias("p_freq"), F.col("b").alias("p_box"))
     accept = candidates.accepted_predicate(F.col("p_freq"), F.col("o_freq"), layout.above_left(F.col("p_box"), F.col("o_box")), F.col("pred_text"), c.least_predicate_freq)
     near = candidates.nearest_predicates(objects, preds, c.predicates_per_object, accept)
@@ -89,7 +91,7 @@ def run(store: StageStore, pages: DataFrame, kb_nodes: DataFrame, kb_edges: Data
     # an object whose name holds the topic's is no fact about it
     linked = linked.join(labels.withColumnRenamed("topic_text", "obj_name"), "node_id", "left").join(topic_names.select("page_id", "topic_text"), "page_id", "left")
     linked = linked.filter(~F.coalesce(F.contains("obj_name", "topic_text"), F.lit(False))).drop("obj_name", "topic_text")
-    shown = pairs.select("page_id", F.col("obj_xpath").alias("xpath"), "obj_text", "rank", "obj", "pred", "pred_xpath", "pred_text", clean(F.col("pred_text")).alias("syn"), "distance")
+    shown = pairs.select("page_id", F.col("obj_xpath").alias("xpath"), "obj_text", "rank", "obj", "pred", "pred_xpath", "pred_text", stemmed(clean(F.col("pred_text"))).alias("syn"), "distance")
     joined = linked.drop("text").join(shown, ["page_id", "xpath"], "left").join(homes, "page_id").withColumnsRenamed({"xpath": "obj_xpath", "node_id": "obj_id"})
     topic_pairs = put("topic_pairs", joined)
     synonyms = put("pred_syns", seeds.cutoff(seeds.redundancy(topic_pairs, seeds.relation_entries(topic_pairs, c.least_redundancy)), c.synonym_factor))
@@ -97,7 +99,7 @@ def run(store: StageStore, pages: DataFrame, kb_nodes: DataFrame, kb_edges: Data
         synonyms = seeds.blend(synonyms, seeds.other_templates(synonyms), c.own_template_weight)
     single = put("unpruned_labels", seeds.prune_duplicates(seeds.best_predicate(topic_pairs, synonyms, c.redundancy_share), c.duplicate_factor).withColumn("label_id", F.struct("page_id", "obj_xpath")))
     between = layout.middle_nodes(single.select("page_id", "obj", "pred").distinct(), placed.select("page_id", "ord", "b"))
-    middles = between.join(placed.select("page_id", F.col("ord").alias("mid"), F.col("term").alias("middle")), ["page_id", "mid"]).join(single, ["page_id", "obj", "pred"])
+    middles = between.join(placed.select("page_id", F.col("ord").alias("mid"), clean(F.col("text")).alias("middle")), ["page_id", "mid"]).join(single, ["page_id", "obj", "pred"])
     seed_labels = put("seed_labels", seeds.prune_by_middle(single, middles.select("template", "pred_text", "label_id", "middle"), c.middle_share).drop("label_id"))
 
     looks = styles if styles is not None else approximate_styles(nodes)

@@ -13,14 +13,16 @@ from weblore.functions.stem import STOP_WORDS, stemmed
 from weblore.operators import evaluate, kb, term_index
 from weblore.plans import sql
 from weblore.sources import html_nodes
-from weblore.sources.tables import table
+from weblore.sources.tables import once, table
 
+QUERY_BLOCKS = 64
 ANCHOR = r"<a [^>]*>([^<]*)</a>"
 
 
 def pages(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Each page once; a page's repeated rows hold the same content."""
-    return table(spark, folder, "webpage", "page_id", *columns).dropDuplicates(["page_id"])
+    """Each page once; a page's repeated rows hold the same content. html is not shuffled."""
+    rows = table(spark, folder, "webpage", "page_id", *columns)
+    return once(rows, "page_id") if "html" in columns else rows.dropDuplicates(["page_id"])
 
 
 def pairs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -159,7 +161,9 @@ def embedding_distance(spark, folder):
     """Distance of every vector to each vector whose id is divisible by 20 (the stated query set), nearest five."""
     e = table(spark, folder, "embeddings", "vec_id", "embedding")
     asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    met = e.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")) if asked.count() <= 20_000 else e.join(asked, F.col("vec_id") != F.col("query_id"))
+    # the stated query set against all rows, in blocks: every row meets each block of queries once
+    met = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1)))).join(
+        asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS)).cast("int")), "block").filter("vec_id <> query_id")
     ranked = met.select("query_id", "vec_id", F.round(text.vector_distance(F.col("embedding"), F.col("q")), 4).alias("distance"))
     order = W.partitionBy("query_id", F.pmod("vec_id", F.lit(64))).orderBy("distance", "vec_id")  # at most 5 x 64 rows per query remain
     ranked = ranked.withColumn("n", F.row_number().over(order)).filter("n <= 5")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +98,3 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def as_strings(df: DataFrame) -> DataFrame:
     """Every column as a string."""
     return df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
-
-
-def default_folder(name: str) -> str:
-    """Local folder of a development store; clusters pass their own shared folder."""
-    return os.path.join(os.path.expanduser("~"), ".weblore", name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblore.functions import text
-from weblore.operators import candidates, classify, crowd, evaluate, graph, kb, layout, seeds, similarity, topic, xpath_rules
+from weblore.operators import candidates, classify, crowd, evaluate, graph, kb, layout, seeds, similarity, term_index, topic, xpath_rules
 from weblore.plans import sql
 from weblore.plans.text_kb_queries import pages, pairs
 from weblore.session import cut
@@ -84,14 +84,24 @@ def topic_xpath_hints(spark, folder):
 
 
 def _second(spark, folder):
-    places, scores = _entities(spark, folder), cut(_scores(spark, folder))
-    return topic.second_pass(scores, places, topic.xpath_hints(topic.best_topic(scores), places), topic_frequency_drop(spark, folder), _texts(spark, folder))
+    places = cut(_entities(spark, folder))
+    scores = cut(topic.jaccard_scores(places, _edges(spark, folder)))
+    best, texts = cut(topic.best_topic(scores)), _texts(spark, folder)
+    dropped = topic.frequent_topics(pages(spark, folder, "template").join(best.join(texts, "node_id", "left"), "page_id", "left"))
+    return topic.second_pass(scores, places, topic.xpath_hints(best, places), dropped, texts)
 
 
 def topic_pass2(spark, folder):
     return _second(spark, folder).select("page_id", "node_id", F.round("score", 9).alias("score"))
 
 
+def topic_meaning(spark, folder):
+    """Whether a page's topic text means the same as its best topic's name."""
+    best = topic.best_topic(_scores(spark, folder)).join(_texts(spark, folder), "node_id").select("page_id", F.col("topic_text").alias("name"))
+    rows = pages(spark, folder, "topic_text").filter("topic_text is not null").join(best, "page_id")
+    return rows.select("page_id", "name", text.alike_meaning(F.col("topic_text"), F.col("name")).alias("same_meaning"))
+
+
 def topic_evaluation(spark, folder):
     found = _second(spark, folder).join(_texts(spark, folder), "node_id", "left").select("page_id", F.col("topic_text").alias("topic"))
     truth = pages(spark, folder, "site", "topic_text").filter("topic_text is not null").select("page_id", "site", KEY(F.col("topic_text")).alias("topic_true"))
@@ -116,10 +126,17 @@ def without_drawn(spark, folder):
 
 
 def nearest_predicates(spark, folder):
-    """The three accepted line items before each one of its order: line number as document order, quantity as frequency."""
-    items = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey").distinct()
-    side = lambda o, p: items.groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias(o)).agg(F.max("l_quantity").alias(f"{p}_freq"))
-    return candidates.nearest_predicates(side("obj", "o"), side("pred", "p"), accept=F.col("p_freq") > F.col("o_freq")).select("page_id", "obj", "pred", "rank")
+    """The three accepted texts before each object text of a page, in the order of its nodes; page frequency as frequency.
+
+    Object nodes in the order of their paths stand for the page's text nodes.
+    """
+    rows = pairs(spark, folder, "page_id", "template", "obj_xpath", "obj_text").select("page_id", "template", "obj_xpath", KEY(F.col("obj_text")).alias("term")).filter("term <> ''")
+    freq = term_index.term_frequency(rows.select("template", "page_id", "term").distinct())
+    places = rows.groupBy("page_id", "template", "obj_xpath").agg(F.min("term").alias("term")).join(freq, ["template", "term"])
+    placed = cut(places.withColumn("n", F.expr("row_number() over (partition by page_id order by obj_xpath)")).select("page_id", "n", "df", "term"))
+    objects = placed.select("page_id", F.col("n").alias("obj"), F.col("df").alias("o_freq"))
+    nodes = placed.select("page_id", F.col("n").alias("pred"), F.col("df").alias("p_freq"), "term")
+    return candidates.nearest_predicates(objects, nodes, accept=(F.col("p_freq") > F.col("o_freq")) & (F.length("term") > 2)).select("page_id", "obj", "pred", "rank")
 
 
 def node_neighbours(spark, folder):
@@ -132,31 +149,34 @@ def node_neighbours(spark, folder):
 
 
 def _boxes(spark, folder):
-    i = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"))
-    return i.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord"), layout.box(F.col("q") * 10, F.col("l_linenumber") * 24, F.col("q") * 3 + 5, F.col("d") * 100 + 12).alias("b"))
-
-
-def _next_boxes(spark, folder):
-    b = _boxes(spark, folder)
-    return b.alias("p").join(b.alias("o"), F.expr("p.page_id = o.page_id and p.ord + 1 = o.ord")).select("p.page_id", F.col("o.ord").alias("obj"), F.col("p.b").alias("pred"), F.col("o.b").alias("box"))
+    """Boxes of each candidate (pred) and its object (box) with all eight offsets; the object's corner is the origin."""
+    flat = _flat(spark, folder).select("pair_id", "rank", F.col("f.distances.horizontal").alias("h"), F.col("f.distances.vertical").alias("v"))
+    whole = flat.filter(" and ".join(f"{side}.{c} is not null" for side, key in (("h", "horizontal"), ("v", "vertical")) for c in similarity.SIDES[key]))
+    zero = F.lit(0.0)
+    return whole.select("pair_id", "rank", layout.box(F.col("h.left_left"), F.col("v.up_up"), F.col("h.right_left") - F.col("h.left_left"), F.col("v.down_up") - F.col("v.up_up")).alias("pred"),
+                        layout.box(zero, zero, F.col("h.left_left") - F.col("h.left_right"), F.col("v.up_up") - F.col("v.up_down")).alias("box"))
 
 
 def rect_distance(spark, folder):
     p, o = F.col("pred"), F.col("box")
-    return _next_boxes(spark, folder).select("page_id", "obj", F.round(layout.rectangle_distance(p, o), 6).alias("min_distance"), F.round(layout.point_distance(p, o, True), 6).alias("weighted"),
-                                            F.round(layout.scaled_distance(p, o), 6).alias("scaled"), layout.vertical_distance(p, o).alias("vertical"), layout.above_left(p, o).alias("above_left"), layout.overlap(p, o).alias("overlap"))
+    return _boxes(spark, folder).select("pair_id", "rank", F.round(layout.rectangle_distance(p, o), 6).alias("min_distance"), F.round(layout.point_distance(p, o, True), 6).alias("weighted"),
+                                        F.round(layout.scaled_distance(p, o), 6).alias("scaled"), F.round(layout.vertical_distance(p, o), 6).alias("vertical"), layout.above_left(p, o).alias("above_left"), layout.overlap(p, o).alias("overlap"))
 
 
 def offset_features(spark, folder):
+    """The offsets worked out again from the boxes, and how far they are from the stored ones."""
     f = layout.offsets(F.col("pred"), F.col("box"))
-    rows = _next_boxes(spark, folder).select("page_id", "obj", f.alias("f"))
-    return rows.select("page_id", "obj", *(F.round(f"f.horizontal.{c}", 6).alias(c) for c in similarity.SIDES["horizontal"]), *(F.round(f"f.vertical.{c}", 6).alias(c) for c in similarity.SIDES["vertical"]), F.round("f.origin_distance", 6).alias("origin_distance"))
+    rows = _boxes(spark, folder).select("pair_id", "rank", f.alias("f"))
+    return rows.select("pair_id", "rank", *(F.round(f"f.horizontal.{c}", 4).alias(c) for c in similarity.SIDES["horizontal"]), *(F.round(f"f.vertical.{c}", 4).alias(c) for c in similarity.SIDES["vertical"]), F.round("f.origin_distance", 4).alias("origin_distance"))
 
 
 def middle_nodes(spark, folder):
-    b = _boxes(spark, folder)
-    wide = b.alias("p").join(b.alias("o"), F.expr("p.page_id = o.page_id and p.ord + 3 = o.ord")).select("p.page_id", F.col("o.ord").alias("obj"), F.col("p.ord").alias("pred"))
-    return layout.middle_nodes(wide, b)
+    """Of an object's candidates, in the order of their list, those between it and a farther one, in order and in the box around both."""
+    b = cut(_boxes(spark, folder))
+    nodes = b.select(F.col("pair_id").alias("page_id"), (-F.col("rank")).alias("ord"), F.col("pred").alias("b"))
+    objects = b.select(F.col("pair_id").alias("page_id"), F.lit(0).alias("ord"), F.col("box").alias("b")).groupBy("page_id", "ord").agg(F.max("b").alias("b"))
+    wide = b.select(F.col("pair_id").alias("page_id"), F.lit(0).alias("obj"), (-F.col("rank")).alias("pred"))
+    return layout.middle_nodes(wide, nodes.unionByName(objects)).select(F.col("page_id").alias("pair_id"), "pred", "mid")
 
 
 def _topic_pairs(spark, folder):
@@ -164,7 +184,7 @@ def _topic_pairs(spark, folder):
     linked = candidates.topic_pairs(_entities(spark, folder).select("page_id", "xpath", "node_id", F.col("k").alias("text")), _edges(spark, folder), topic.best_topic(_scores(spark, folder)).select("page_id", F.col("node_id").alias("topic_id")))
     flat = candidates.flat_candidates(pairs(spark, folder, "page_id", "template", "obj_xpath", "obj_text", "features", "pred_candidates"))
     near = flat.select("page_id", "template", F.col("obj_xpath").alias("xpath"), "obj_text", "pair_id", "rank", "pred_xpath", "pred_text", text.clean(F.col("pred_text")).alias("syn"),
-                       F.least(F.coalesce(F.col("f.distances.origin_distance") / 1000.0, F.lit(1.0)), F.lit(1.0)).alias("distance"))
+                       F.coalesce(layout.scaled_distance(layout.box(F.col("f.distances.horizontal.left_left"), F.col("f.distances.vertical.up_up"), F.lit(0), F.lit(0)), layout.box(F.lit(0), F.lit(0), F.lit(0), F.lit(0))), F.lit(1.0)).alias("distance"))
     homes = pages(spark, folder, "template").withColumnRenamed("template", "home")
     out = linked.join(near, ["page_id", "xpath"], "left").join(homes, "page_id").withColumn("template", F.coalesce("template", "home"))
     return out.select("template", "page_id", F.col("xpath").alias("obj_xpath"), F.col("node_id").alias("obj_id"), "obj_text", "rel_id", "w", "pair_id", "rank", "pred_xpath", "pred_text", "syn", "distance")
@@ -174,7 +194,7 @@ _TP = _ENTITIES + f""", ek as (select source_id, dest_id, edge_type_id as rel_id
 en as (select source_id, dest_id, count(*) as n from ek group by 1, 2),
 lk as (select distinct ent.page_id, ent.xpath, ent.node_id, ek.rel_id, 1.0::double / en.n as w from ent join top1 on top1.page_id = ent.page_id join ek on ek.source_id = top1.node_id and ek.dest_id = ent.node_id join en on en.source_id = ek.source_id and en.dest_id = ek.dest_id),
 fc as (select pair_id, page_id, template, obj_xpath, obj_text, unnest(pred_candidates) as p, (unnest(range(len(pred_candidates))) + 1)::int as rank from pairs),
-nr as (select page_id, template, obj_xpath as xpath, obj_text, pair_id, rank, p.node as pred_xpath, p.text as pred_text, {sql.clean('p.text')} as syn, least(coalesce(p.features.distances.origin_distance / 1000.0, 1.0), 1.0) as distance from fc),
+nr as (select page_id, template, obj_xpath as xpath, obj_text, pair_id, rank, p.node as pred_xpath, p.text as pred_text, {sql.clean('p.text')} as syn, coalesce(sqrt(pow(p.features.distances.horizontal.left_left / 1024.0, 2) + pow(p.features.distances.vertical.up_up / 768.0 * 1.5, 2)), 1.0) as distance from fc),
 tp as (select coalesce(nr.template, h.template) as template, lk.page_id, lk.xpath as obj_xpath, lk.node_id as obj_id, obj_text, rel_id, w, pair_id, rank, pred_xpath, pred_text, syn, distance from lk left join nr using (page_id, xpath) join (select page_id, template from pages) h on h.page_id = lk.page_id),
 en3 as (select template, page_id, rel_id, obj_id, w, count(*) over (partition by template, rel_id) as n_rel from (select distinct template, page_id, rel_id, obj_id, w from tp)),
 ent3 as (select * from en3 where n_rel >= 3),
@@ -202,7 +222,7 @@ def synonym_cutoff(spark, folder):
 
 
 def synonym_blend(spark, folder):
-    own = _synonyms(spark, folder)[1]
+    own = seeds.cutoff(_synonyms(spark, folder)[1])
     return seeds.blend(own, seeds.other_templates(own), 0.7).select("template", "rel_id", "syn", F.round("score", 9).alias("score"))
 
 
@@ -241,6 +261,13 @@ def similarity_classes(spark, folder):
     return similarity.similarity_classes(_flat(spark, folder)).groupBy("class_id").agg(F.count("*").alias("n_members"), F.sum("n_links").alias("n_links")).groupBy("n_members", "n_links").agg(F.count("*").alias("n_classes"))
 
 
+def similarity_links(spark, folder):
+    """Every candidate row with the size of its style class over all pages of its template and its number of links there."""
+    rows = similarity.similarity_classes(_flat(spark, folder))
+    sizes = rows.groupBy("class_id").agg(F.count("*").alias("n_members"))
+    return rows.join(sizes, "class_id").select("pair_id", "rank", "n_members", "n_links")
+
+
 def pair_similarity_gated(spark, folder):
     return similarity.page_similarity(_flat(spark, folder), True).select("page_id", "pair_a", "rank_a", "pair_b", "rank_b", F.round("weight", 6).alias("weight"))
 
@@ -354,11 +381,14 @@ def missed_objects(spark, folder):
 
 
 def xpath_rule_scores(spark, folder):
-    """Paths that find the heading on every page of the collection."""
-    nodes = cut(html_nodes.nodes(pages(spark, folder, "html")))
-    targets = nodes.filter("tag = 'h1'").groupBy("page_id").agg(F.min("ord").alias("ord"))
-    rules = xpath_rules.induce(nodes, targets, deepest=2)
-    return spark.createDataFrame([(p, float(a), float(b), float(c)) for p, a, b, c in rules] or [("", 0.0, 0.0, 0.0)], "xpath string, precision double, recall double, support double")
+    """The best path to the heading of each template's pages: one induction per template, three levels."""
+    nodes = cut(html_nodes.nodes(pages(spark, folder, "html", "template")).join(pages(spark, folder, "template"), "page_id"))
+    out = []
+    for row in nodes.select("template").distinct().orderBy("template").collect():  # one row per template
+        own = nodes.filter(F.col("template").eqNullSafe(F.lit(row.template)))
+        targets = own.filter("tag = 'h1'").groupBy("page_id").agg(F.min("ord").alias("ord"))
+        out += [(row.template, p, float(x), float(y), float(z)) for p, x, y, z in xpath_rules.induce(own, targets, deepest=3)[:1]]
+    return spark.createDataFrame(out, "template string, xpath string, precision double, recall double, support double")
 
 
 def events_by_hour(spark, folder):
@@ -370,15 +400,16 @@ def event_sessions(spark, folder):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    page_entities, jaccard_topic, topic_frequency_drop, topic_xpath_hints, topic_pass2, topic_evaluation, selected_templates, candidate_ranks, without_drawn, nearest_predicates, node_neighbours,
+    page_entities, jaccard_topic, topic_frequency_drop, topic_xpath_hints, topic_pass2, topic_meaning, topic_evaluation, selected_templates, candidate_ranks, without_drawn, nearest_predicates, node_neighbours,
     rect_distance, offset_features, middle_nodes, relation_weighted_candidates, redundancy_score, synonym_cutoff, synonym_blend, best_predicate, duplicate_object_prune, middle_string_prune,
-    unlabeled_pairs, similarity_classes, pair_similarity_gated, pair_similarity_open, undirected_edges, row_normalize, ppr_fixed_rounds, multi_rank_walk, louvain_clusters,
+    unlabeled_pairs, similarity_classes, pair_similarity_gated, pair_similarity_open, undirected_edges, row_normalize, ppr_fixed_rounds, multi_rank_walk, similarity_links, louvain_clusters,
     label_encode, max_distance_feature, feature_vector, nb_predict, new_labels, cluster_pairs, new_labels_not_in_kb, assign_edge_types, kb_write_back, crowd_pick_pages, label_evaluation,
     missed_objects, xpath_rule_scores, events_by_hour, event_sessions)}
 
-_BOX = """with b as (select l_orderkey as page_id, l_linenumber as ord, max(l_quantity) * 10 as x, l_linenumber * 24.0::double as y, max(l_quantity) * 3 + 5 as w, max(l_discount) * 100 + 12 as h from lineitem group by 1, 2)"""
-_NEXT = _BOX + """, n as (select p.page_id, o.ord as obj, p.x as px, p.y as py, p.w as pw, p.h as ph, o.x as ox, o.y as oy, o.w as ow, o.h as oh from b p join b o on p.page_id = o.page_id and p.ord + 1 = o.ord)"""
 _FLAT = f"with {sql.PAIRS}, fl as (select pair_id, page_id, template, obj_xpath, obj_text, features.dom as obj_dom, unnest(pred_candidates) as p, (unnest(range(len(pred_candidates))) + 1)::int as rank from pairs)"
+_BOX = _FLAT + """, fb as (select pair_id, rank, p.features.distances.horizontal as h, p.features.distances.vertical as v from fl),
+b as (select pair_id, rank, h.left_left as px, v.up_up as py, h.right_left - h.left_left as pw, v.down_up - v.up_up as ph, 0.0::double as ox, 0.0::double as oy, h.left_left - h.left_right as ow, v.up_up - v.up_down as oh from fb
+  where h.left_left + h.left_right + h.right_left + h.right_right + v.up_up + v.up_down + v.down_up + v.down_down is not null)"""
 _H, _V = similarity.SIDES["horizontal"], similarity.SIDES["vertical"]
 
 
@@ -426,20 +457,23 @@ ORACLES: dict[str, str] = {
         select pair_id, nearness, p.node as pred_xpath, round(p.features.distances.origin_distance, 4) as distance from r where nearness <= 3""",
     "without_drawn": f"""with {sql.PAIRS} select pair_id from pairs where not regexp_matches(obj_xpath, 'svg|noscript')
         and len(list_filter(coalesce(pred_candidates, []), lambda p: coalesce(regexp_matches(p.node, 'svg|noscript'), false))) = 0""",
-    "nearest_predicates": """with i as (select l_orderkey as page_id, l_linenumber as n, max(l_quantity) as q from lineitem group by 1, 2),
-        m as (select o.page_id, o.n as obj, p.n as pred, row_number() over (partition by o.page_id, o.n order by p.n desc) as rank from i o join i p on o.page_id = p.page_id and p.n < o.n and p.q > o.q)
+    "nearest_predicates": f"""with {sql.PAIRS}, r as (select page_id, template, obj_xpath, {sql.key('obj_text')} as term from pairs), t as (select * from r where term <> ''),
+        fq as (select template, term, count(distinct page_id) as df from t group by 1, 2), pl as (select page_id, template, obj_xpath, min(term) as term from t group by 1, 2, 3),
+        n as (select page_id, term, df, row_number() over (partition by page_id order by obj_xpath) as n from pl join fq using (template, term)),
+        m as (select o.page_id, o.n as obj, p.n as pred, row_number() over (partition by o.page_id, o.n order by p.n desc) as rank from n o join n p on o.page_id = p.page_id and p.n < o.n and p.df > o.df and length(p.term) > 2)
         select page_id, obj, pred, rank from m where rank <= 3""",
-    "rect_distance": _NEXT + """ select page_id, obj, round(sqrt(pow(greatest(0, px - (ox + ow), ox - (px + pw)), 2) + pow(greatest(0, py - (oy + oh), oy - (py + ph)), 2)), 6) as min_distance,
-        round(sqrt(pow(px - ox, 2) + pow((py - oy) * 1.5, 2)), 6) as weighted, round(sqrt(pow((px - ox) / 1024.0, 2) + pow((py - oy) / 768.0 * 1.5, 2)), 6) as scaled, abs(py - oy) as vertical,
-        px <= ox and py <= oy as above_left, px <= ox + ow and ox <= px + pw and py <= oy + oh and oy <= py + ph as overlap from n""",
-    "offset_features": _NEXT + """ select page_id, obj, round(px - ox, 6) as left_left, round(px - ox - ow, 6) as left_right, round(px + pw - ox, 6) as right_left, round(px + pw - ox - ow, 6) as right_right,
-        round(py - oy, 6) as up_up, round(py - oy - oh, 6) as up_down, round(py + ph - oy, 6) as down_up, round(py + ph - oy - oh, 6) as down_down, round(sqrt(pow(px - ox, 2) + pow(py - oy, 2)), 6) as origin_distance from n""",
-    "middle_nodes": _BOX + """ select o.page_id, o.ord as obj, p.ord as pred, m.ord as mid from b p join b o on p.page_id = o.page_id and p.ord + 3 = o.ord join b m on m.page_id = o.page_id and m.ord > p.ord and m.ord < o.ord
-        where m.x <= greatest(p.x + p.w, o.x + o.w) and least(p.x, o.x) <= m.x + m.w and m.y <= greatest(p.y + p.h, o.y + o.h) and least(p.y, o.y) <= m.y + m.h""",
+    "rect_distance": _BOX + """ select pair_id, rank, round(sqrt(pow(greatest(0, px - (ox + ow), ox - (px + pw)), 2) + pow(greatest(0, py - (oy + oh), oy - (py + ph)), 2)), 6) as min_distance,
+        round(sqrt(pow(px - ox, 2) + pow((py - oy) * 1.5, 2)), 6) as weighted, round(sqrt(pow((px - ox) / 1024.0, 2) + pow((py - oy) / 768.0 * 1.5, 2)), 6) as scaled, round(abs(py - oy), 6) as vertical,
+        px <= ox and py <= oy as above_left, px <= ox + ow and ox <= px + pw and py <= oy + oh and oy <= py + ph as overlap from b""",
+    "offset_features": _BOX + """ select pair_id, rank, round(px - ox, 4) as left_left, round(px - ox - ow, 4) as left_right, round(px + pw - ox, 4) as right_left, round(px + pw - ox - ow, 4) as right_right,
+        round(py - oy, 4) as up_up, round(py - oy - oh, 4) as up_down, round(py + ph - oy, 4) as down_up, round(py + ph - oy - oh, 4) as down_down, round(sqrt(pow(px - ox, 2) + pow(py - oy, 2)), 4) as origin_distance from b""",
+    "middle_nodes": _BOX + """, w as (select pair_id, max(struct_pack(x := ox, y := oy, w := ow, h := oh)) as q from b group by 1)
+        select p.pair_id, -p.rank as pred, -m.rank as mid from b p join w on w.pair_id = p.pair_id join b m on m.pair_id = p.pair_id and m.rank < p.rank
+        where m.px <= greatest(p.px + p.pw, q.w) and least(p.px, 0) <= m.px + m.pw and m.py <= greatest(p.py + p.ph, q.h) and least(p.py, 0) <= m.py + m.ph""",
     "relation_weighted_candidates": _TP + "select template, page_id, rel_id, obj_id, round(w, 9) as w, n_rel from ent3",
     "redundancy_score": _TP + "select template, rel_id, syn, round(score, 9) as score from sy",
     "synonym_cutoff": _TP + "select template, rel_id, syn, round(score, 9) as score from sc",
-    "synonym_blend": _TP + """, o as (select template, rel_id, syn, score, sum(score) over (partition by rel_id, syn) as s, count(*) over (partition by rel_id, syn) as n from sy)
+    "synonym_blend": _TP + """, o as (select template, rel_id, syn, score, sum(score) over (partition by rel_id, syn) as s, count(*) over (partition by rel_id, syn) as n from sc)
         select template, rel_id, syn, round(score * 0.7 + case when n > 1 then (s - score) / (n - 1) else 0 end * (1 - 0.7::double), 9) as score from o""",
     "best_predicate": _TP + "select page_id, obj_xpath, pred_xpath, rel_id, round(score, 9) as score from bp",
     "duplicate_object_prune": _TP + "select page_id, obj_xpath, obj_text, round(score, 9) as score from (select *, max(score) over (partition by page_id, obj_text) as b from bp) where score >= b * 0.9",
@@ -450,6 +484,8 @@ ORACLES: dict[str, str] = {
     "similarity_classes": _FLAT + """, s as (select template, to_json(obj_dom)::varchar as o, to_json(p.features.dom)::varchar as d, obj_xpath, p.node as node from fl where obj_dom is not null and p.features.dom is not null),
         c as (select template, o, d, obj_xpath, node, count(*) as own from s group by all), w as (select template, o, d, sum(own)::bigint as n_members, (sum(own) * sum(own) - sum(own * own))::bigint as n_links from c group by 1, 2, 3)
         select n_members, n_links, count(*) as n_classes from w group by 1, 2""",
+    "similarity_links": _FLAT + """, s as (select pair_id, rank, template, to_json(obj_dom)::varchar as o, to_json(p.features.dom)::varchar as d, coalesce(obj_xpath, chr(1)) as x, coalesce(p.node, chr(1)) as n from fl where obj_dom is not null and p.features.dom is not null)
+        select pair_id, rank, count(*) over (partition by template, o, d) as n_members, count(*) over (partition by template, o, d) - count(*) over (partition by template, o, d, x, n) as n_links from s""",
     "pair_similarity_gated": _SIM + " select page_id, pair_a, rank_a, pair_b, rank_b, round(base, 6) as weight from m where same and base > 0",
     "pair_similarity_open": _SIM + " select page_id, pair_a, rank_a, pair_b, rank_b, round(base + case when same then 1 else 0 end, 6) as weight from m where base + case when same then 1 else 0 end > 0",
     "undirected_edges": "with e as (select distinct source_id as s, dest_id as d from kb_edge where source_id is not null and dest_id is not null) select src, dst, 1.0::double as w from (select s as src, d as dst from e union select d, s from e)",

@@ -157,6 +157,26 @@ def stem_terms(spark, folder):
     return terms.select("term", stemmed(F.col("term")).alias("stem"))
 
 
+def stemmed_term_freq(spark, folder):
+    """Document frequency of every stemmed text of a page's DOM, tails included, per template."""
+    return term_index.term_frequency(_stemmed_terms(spark, folder))
+
+
+def _stemmed_terms(spark, folder):
+    # parsed before repeated pages are dropped: only (template, page, text) is shuffled
+    rows = table(spark, folder, "webpage", "page_id", "template", "html")
+    strings = html_nodes.text_strings(html_nodes.nodes(rows)).select("page_id", "text").distinct()
+    homes = table(spark, folder, "webpage", "page_id", "template").dropDuplicates(["page_id"])
+    return term_index.page_terms(strings.join(homes, "page_id"), stems=True)
+
+
+def stemmed_text_nodes(spark, folder):
+    """Object texts by their stems with their share of the template's pages, too common and too short ones dropped."""
+    nodes = pairs(spark, folder, "template", "obj_text").select("pair_id", "template", stemmed(text.clean(F.col("obj_text"))).alias("term")).filter("term <> ''")
+    rated = term_index.normalized(nodes, stemmed_term_freq(spark, folder), table(spark, folder, "webpage", "template", "page_id"))
+    return term_index.without_common(rated).select("pair_id", "template", "term", F.round("freq", 9).alias("freq"))
+
+
 def embedding_distance(spark, folder):
     """Distance of every vector to each vector whose id is divisible by 20 (the stated query set), nearest five."""
     e = table(spark, folder, "embeddings", "vec_id", "embedding")
@@ -173,7 +193,7 @@ def embedding_distance(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     term_freq_by_template, template_stats, term_freq_normalized, text_node_filter, clean_texts, hash_node_ids, scalar_texts, progress_texts, dom_distance, fuzzy_labels,
     kb_nodes_clean, kb_edges_valid, kb_edge_types, kb_max_ids, related_objects, relations_between, entity_search_exact, entity_search_phrase, entity_search_strict,
-    map_helpers, value_frequency, parse_nodes, page_strings, stem_terms, embedding_distance)}
+    map_helpers, value_frequency, parse_nodes, page_strings, stem_terms, stemmed_term_freq, stemmed_text_nodes, embedding_distance)}
 
 _TERMS = f"""
 anchors as (select page_id, template, unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) as text from webpage),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblore.operators import classify, crowd, graph, kb, layout, nested, seeds, similarity, topic, xpath_rules
+from weblore.plans import nested_queries
 from weblore.sources import html_nodes, loaders, stage_store
 from weblore.streaming import page_stream
 
@@ -41,6 +42,22 @@ def test_nested_records(spark):
     assert nested.leaf_rows(df.limit(0)).collect() == []
 
 
+def test_nested_fields(spark, tmp_path):
+    dom = {"font_size": "12", "color": None}
+    pred = {"node": "/p", "text": "P", "features": {"dom": dom, "distances": {"horizontal": {"left_left": "-3.5", "left_right": "?"}, "origin_distance": 7}, "graphic": {"is_above_and_on_left": True}, "dom_distance": 4}}
+    rows = [(1, json.dumps({"/a": {"obj_text": "x", "features": {"dom": dom}, "pred_candidates": [pred, {"node": "/q"}]}}), json.dumps({"/a": {"pred": "/p", "obj_id": 77}}), json.dumps({"5": {"text": "e", "xpaths": ["/a", "/b"]}, "6": {"xpaths": "/c"}, "7": {}})),
+            (2, "broken", None, "[]")]
+    spark.createDataFrame(rows, "page_id long, candidate_pairs string, seed_labels string, page_entities string").write.parquet(str(tmp_path / "webpage.parquet"))
+    run = lambda name: nested_queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.obj_xpath, r.dom_font_size, r.dom_color) for r in run("p4_pairs")] == [("/a", "12", None)]
+    got = {r.child_key if "child_key" in r.asDict() else r.node: r for r in run("p4_pred_candidates")}
+    assert set(got) == {"/p", "/q"} and got["/q"].dom_distance is None and got["/q"].dom_font_size is None
+    p = got["/p"]
+    assert (p.distances_horizontal_left_left, p.distances_horizontal_left_right, p.distances_origin_distance, p.graphic_is_above_and_on_left, p.dom_distance) == (-3.5, None, 7.0, True, 4)
+    assert [r.obj_id for r in run("p4_labels")] == ["77"]
+    assert {(r.entity_id, r.xpath) for r in run("p4_entity_places")} == {("5", "/a"), ("5", "/b"), ("6", "/c")}
+
+
 def test_knowledge_base(spark):
     nodes = spark.createDataFrame([(1, "A"), (2, "B"), (3, "B"), (2, "B"), (4, None)], "node_id long, node_text string")
     edges = spark.createDataFrame([(1, 2, 7, "likes"), (1, 2, 8, "knows"), (1, 9, 7, "likes"), (1, 2, 7, "likes")], "source_id long, dest_id long, edge_type_id long, edge_type_text string")

@@ -1,5 +1,6 @@
 """Main body of pages on small fixtures."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weblore.llm import main_content
@@ -31,3 +32,23 @@ def test_main_lines(spark):
 
 def test_empty_table(spark):
     assert main_content.main_lines(pages(spark, 1).limit(0)).collect() == []
+
+
+def test_every_page_trains(spark):
+    """Pages behind the first 1,500 by hash of page_id count as well: two main nodes each, two or four of furniture."""
+    first = ["<body>", "<div>", "<h1>Title</h1>", "</div>", "<ul>", "<li><a href='/0'>Home</a></li>"]
+    ids = [r.page_id for r in spark.range(1600).withColumnRenamed("id", "page_id").orderBy(F.xxhash64("page_id")).collect()]
+    rows = [(i, "t", "\n".join([*first, *(["<li><a href='/1'>Help</a></li>"] * 2 if k >= 1500 else []), "</ul>", "</body>"]), None) for k, i in enumerate(ids)]
+    df = spark.createDataFrame([*rows, *rows[-50:]], "page_id long, template string, html string, ground_truth string")
+    assert abs(main_content.train(df).base - np.log(3200 / 3400)) < 1e-12
+
+
+def test_lines_repeated_on_any_page_are_furniture(spark):
+    """A notice on a tenth of all pages, on none of the first 10,000 by hash."""
+    ids = [r.page_id for r in spark.range(11200).withColumnRenamed("id", "page_id").orderBy(F.xxhash64("page_id")).collect()]
+    page = "<body>\n<div>\n<h1>Title</h1>\n{}\n</div>\n</body>"
+    notice = "<p>This whole notice stands on many of the pages</p>"
+    rows = [(i, "t", page.format(notice if k >= 10000 else ""), None) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, template string, html string, ground_truth string")
+    found = main_content.main_lines(df).groupBy("line_no").count().collect()
+    assert {r.line_no: r["count"] for r in found} == {3: 11200}

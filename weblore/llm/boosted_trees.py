@@ -1,14 +1,30 @@
 """Gradient-boosted decision trees for two classes: histogram splits, logistic loss, numpy only.
 
-Fit on a bounded sample on the driver; a model is a few KB of arrays that travels with the
-task closure and scores whole batches with array operations.
+A level of a tree needs only sums of gradients by (feature, node, bin): tasks add them up over their blocks of rows
+and rows never leave the tasks (`fit_slices`). Gradients are whole multiples of 1 / SCALE, so sums and model are the same however the
+rows are spread. A model is a few KB of arrays that travels with the task closure and scores whole batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from weblore.session import cut
+
+SCALE, NONE = 1 << 24, 255  # gradients are multiples of 1 / SCALE; NONE: no split
+SLICE_ROWS, BLOCK_ROWS = 1 << 15, 1 << 15
+CELLS = 1 << 11  # bins that are counted at once: several features with few bins share one pass over the rows
+CARRY = 10  # trees after which the scores are stored with the rows
+TASK_ROWS = 1 << 23  # rows of a task at most where the slices have as many partitions; each task sends 70 KB of sums a level
+DRIVER_ROWS = 400_000  # rows of bins (14 MB) that the driver may hold; more are summed in tasks, with the same result
+SLICES, BLOCKS = "n int, codes binary, vals array<array<double>>", "y binary, bins binary, score binary"
+Sums = Callable[[list, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -32,51 +48,236 @@ class BoostedTrees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 32, ridge: float = 3.0, least: float = 1.0, columns: float = 0.5, seed: int = 7, weights: np.ndarray | None = None) -> BoostedTrees:
-    """Fit on rows x (float) with labels y in {0, 1}. Without rows of both classes the model is constant.
+def _nodes(bins: np.ndarray, feature: np.ndarray, split: np.ndarray, levels: int) -> np.ndarray:
+    """Place of each row among the nodes of a level. bins: (features, rows)."""
+    at = np.zeros(bins.shape[1], np.uint8)
+    for level in range(levels):
+        right = np.zeros(len(at), bool)
+        for k in range(2**level):
+            i = 2**level - 1 + k
+            if split[i] != NONE:
+                right |= (at == k) & (bins[feature[i]] > split[i])
+        at = 2 * at + right
+    return at
+
+
+def _scored(bins: np.ndarray, score: np.ndarray, trees: list) -> np.ndarray:
+    for feature, split, values in trees:
+        score = score + values[_nodes(bins, feature, split, len(values).bit_length() - 1)]
+    return score
+
+
+def _sums(bins: np.ndarray, y: np.ndarray, w: np.ndarray | float, score: np.ndarray, feature: np.ndarray, split: np.ndarray, level: int, used: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Gradients and hessians in 1 / SCALE by (used feature, node of the level, bin). sizes: bins of the used features."""
+    p = 1 / (1 + np.exp(-score))
+    grad, hess = np.rint((p - y) * SCALE) * w, np.rint(p * (1 - p) * SCALE) * w
+    at = _nodes(bins, feature, split, level).astype(np.int64)
+    out = np.zeros((2, len(used), 2**level, sizes.max()))
+    first = 0
+    while first < len(used):
+        last, cells, code = first, 1, np.zeros(len(at), np.uint16)
+        while last < len(used) and (last == first or cells * sizes[last] <= CELLS):
+            code = code * np.uint16(sizes[last]) + bins[used[last]]
+            cells, last = cells * int(sizes[last]), last + 1
+        cell = at * cells + code
+        for o, v in zip(out, (grad, hess)):
+            table = np.bincount(cell, v, 2**level * cells).reshape(2**level, *sizes[first:last])
+            for k in range(first, last):
+                o[k, :, : sizes[k]] = table.sum(tuple(i for i in range(1, table.ndim) if i != k - first + 1))
+        first = last
+    return out
+
+
+def _base(share: float) -> float:
+    share = float(np.clip(share, 1e-3, 1 - 1e-3))
+    return float(np.log(share / (1 - share)))
+
+
+def _grow(sums: Sums, cuts: list[np.ndarray], base: float, rounds: int = 60, depth: int = 4, rate: float = 0.15, ridge: float = 3.0, least: float = 1.0, columns: float = 0.5, seed: int = 7) -> BoostedTrees:
+    """Trees from the sums of gradients of all rows.
 
     Each tree draws a share of the columns (seeded), each child holds at least `least` of hessian.
     """
-    n, width = x.shape
-    w = np.ones(n) if weights is None else weights
-    share = float(np.clip((w @ y) / max(w.sum(), 1e-9), 1e-3, 1 - 1e-3)) if n else 0.5
-    base, inner = float(np.log(share / (1 - share))), 2**depth - 1
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(width)]
-    binned = np.stack([np.searchsorted(cuts[j], x[:, j], "left") for j in range(width)], 1) if n else np.zeros((0, width), int)
-    score, trees, draw = np.full(n, base), [], np.random.default_rng(seed)
-    for _ in range(rounds if n and 0 < y.mean() < 1 else 0):
-        p = 1 / (1 + np.exp(-score))
-        grad, hess = w * (p - y), w * p * (1 - p)
-        feature, threshold, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
+    sizes = np.array([len(c) + 1 for c in cuts])
+    width, inner, trees, draw = len(cuts), 2**depth - 1, [], np.random.default_rng(seed)
+    for _ in range(rounds):
+        feature, split = np.zeros(inner, np.int64), np.full(inner, NONE, np.uint8)
         used = np.sort(draw.permutation(width)[: max(1, round(columns * width))])  # of the columns, for this tree
         for level in range(depth):
-            first, count = 2**level - 1, 2**level
-            local = at - first
-            best = np.full(count, 1e-6)
-            split = np.full(count, -1)
-            for j in used:
-                if not len(cuts[j]):
-                    continue
-                size = len(cuts[j]) + 1
-                cell = local * size + binned[:, j]
-                g = np.bincount(cell, grad, count * size).reshape(count, size).cumsum(1)
-                h = np.bincount(cell, hess, count * size).reshape(count, size).cumsum(1)
-                total_g, total_h = g[:, -1:], h[:, -1:]
-                gain = g**2 / (h + ridge) + (total_g - g) ** 2 / (total_h - h + ridge) - total_g**2 / (total_h + ridge)
-                gain[(h < least) | (total_h - h < least)] = 0
-                k = gain[:, :-1].argmax(1)
-                value = gain[np.arange(count), k]
-                better = value > best
-                best[better] = value[better]
-                split[better] = k[better]
-                feature[first : first + count][better] = j
-            for i in np.flatnonzero(split >= 0):
-                threshold[first + i] = cuts[feature[first + i]][split[i]]
-            at = 2 * at + 1 + (x[np.arange(n), feature[at]] > threshold[at])
-        leaf = at - inner
-        values = -rate * np.bincount(leaf, grad, 2**depth) / (np.bincount(leaf, hess, 2**depth) + ridge)
-        score = score + values[leaf]
-        trees.append((feature, threshold, values))
+            node = np.arange(2**level)
+            g, h = sums(trees, feature, split, level, used, sizes[used]).cumsum(-1) / SCALE
+            total_g, total_h = g[..., -1:], h[..., -1:]
+            gain = g**2 / (h + ridge) + (total_g - g) ** 2 / (total_h - h + ridge) - total_g**2 / (total_h + ridge)
+            gain[(h < least) | (total_h - h < least)] = 0
+            k = gain.argmax(-1)
+            value = np.take_along_axis(gain, k[..., None], -1)[..., 0]
+            best = value.argmax(0)
+            found, k = value[best, node] > 1e-6, k[best, node]
+            feature[2**level - 1 + node], split[2**level - 1 + node] = np.where(found, used[best], 0), np.where(found, k, NONE)
+        both = [(np.where(found, s[best, node, k], s[0, :, -1]), s[0, :, -1]) for s in (g, h)]  # without a split all rows go left
+        leaf_g, leaf_h = (np.stack([left, total - left], 1).ravel() for left, total in both)
+        trees.append((feature, split, -rate * leaf_g / (leaf_h + ridge)))
     if not trees:
         return BoostedTrees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, 2**depth)))
-    return BoostedTrees(base, *(np.stack([t[i] for t in trees]) for i in range(3)))
+    thresholds = [[cuts[f][s] if s != NONE else np.inf for f, s in zip(feature, split)] for feature, split, _ in trees]
+    return BoostedTrees(base, np.stack([t[0] for t in trees]), np.array(thresholds), np.stack([t[2] for t in trees]))
+
+
+def _in_memory(bins: np.ndarray, y: np.ndarray, w: np.ndarray | float, base: float) -> Sums:
+    score, done = np.full(len(y), base), 0
+
+    def sums(trees: list, *at) -> np.ndarray:
+        nonlocal score, done
+        score, done = _scored(bins, score, trees[done:]), len(trees)
+        return _sums(bins, y, w, score, *at)
+
+    return sums
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, bins: int = 32, weights: np.ndarray | None = None, **settings) -> BoostedTrees:
+    """Fit on rows x (float) with labels y in {0, 1}. Without rows of both classes the model is constant."""
+    n, width = x.shape
+    w = np.ones(n) if weights is None else weights
+    base = _base((w @ y) / max(w.sum(), 1e-9) if n else 0.5)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(width)]
+    binned = np.stack([np.searchsorted(cuts[j], x[:, j], "left") for j in range(width)]).astype(np.uint8) if n else np.zeros((width, 0), np.uint8)
+    return _grow(_in_memory(binned, y, w, base), cuts, base, rounds if n and 0 < y.mean() < 1 else 0, **settings)
+
+
+def packed(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, bytes, list[np.ndarray]]]:
+    """Rows as records of SLICES: the sorted values of each column (the label is the last one) and their codes, column after column."""
+    for at in range(0, len(x), SLICE_ROWS):
+        columns = [np.unique(v, return_inverse=True) for v in (*x[at : at + SLICE_ROWS].T, y[at : at + SLICE_ROWS].astype(float))]
+        codes = np.stack([c for _, c in columns]).astype(np.uint16)
+        yield codes.shape[1], pa.compress(codes.tobytes(), "zstd", asbytes=True), [v for v, _ in columns]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    for batch in batches:
+        for n, codes, vals in zip(*batch.columns):
+            vals = [v.values.to_numpy() for v in vals]
+            size = n.as_py() * len(vals) * 2
+            yield np.frombuffer(pa.decompress(codes.as_py(), size, "zstd", asbytes=True), np.uint16).reshape(len(vals), -1), vals
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
+    size = 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for j, parts in held.items():
+            vals, code = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+            n = np.bincount(code, np.concatenate([n for _, n in parts])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vals), j, np.int32)), pa.array(vals), pa.array(n)], names=["feature", "value", "n"])
+
+    for codes, vals in _slices(batches):
+        for j, v in enumerate(vals):
+            held.setdefault(j, []).append((v, np.bincount(codes[j], minlength=len(v))))
+            size += len(v)
+        if size > 1_000_000:
+            yield from given()
+            held, size = {}, 0
+    yield from given()
+
+
+def _quantile_cuts(values: DataFrame, n: int, width: int, bins: int) -> list[np.ndarray]:
+    """Exact quantiles (as np.quantile) of each feature over all n rows. values: feature, value, n, part (ranges of feature and value)."""
+    place = np.linspace(0, 1, bins + 1)[1:-1] * (n - 1)
+    low = np.floor(place).astype(np.int64)
+    high, share = np.minimum(low + 1, n - 1), place - low
+    asked, start = [], dict.fromkeys(range(width), 0)
+    for feature, part, rows in sorted(values.filter(F.col("feature") < width).groupBy("feature", "part").agg(F.sum("n")).collect()):
+        first, start[feature] = start[feature], start[feature] + rows
+        asked += [(feature, part, int(r), int(r - first)) for r in np.union1d(low, high) if first <= r < first + rows]
+    upto = F.sum("n").over(Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = values.sparkSession.createDataFrame(asked, "feature int, part int, rank long, offset long")
+    met = values.withColumn("upto", upto).join(F.broadcast(ranks), ["feature", "part"]).filter("offset < upto and offset >= upto - n")
+    at = {(r.feature, r.rank): r.value for r in met.select("feature", "rank", "value").collect()}
+    cuts = []
+    for j in range(width):
+        a, b = (np.array([at[j, r] for r in ranks.tolist()]) for ranks in (low, high))
+        cuts.append(np.unique(np.where(share < 0.5, a + (b - a) * share, b - (b - a) * (1 - share))))
+    return cuts
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+
+    def block() -> pa.RecordBatch:
+        bins = np.concatenate(held, 1)
+        return _block(bins[-1].tobytes(), pa.compress(bins[:-1].tobytes(), "lz4", asbytes=True), b"")
+
+    for codes, vals in _slices(batches):
+        place = [np.searchsorted(c, v, "left") for c, v in zip(cuts, vals)] + [vals[-1]]
+        held.append(np.stack([p.astype(np.uint8)[c] for p, c in zip(place, codes)]))
+        rows += codes.shape[1]
+        if rows >= BLOCK_ROWS:
+            yield block()
+            held, rows = [], 0
+    if rows:
+        yield block()
+
+
+def _block(*columns: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["y", "bins", "score"])
+
+
+def _unpacked(blocks: Iterator[pa.RecordBatch], width: int, base: float, trees: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, y, score after the trees) of each block."""
+    for batch in blocks:
+        for y, bins, score in zip(*(c.to_pylist() for c in batch.columns)):
+            bins = np.frombuffer(pa.decompress(bins, len(y) * width, "lz4", asbytes=True), np.uint8).reshape(width, -1)
+            yield bins, np.frombuffer(y, np.uint8), _scored(bins, np.frombuffer(score) if score else np.full(len(y), base), trees)
+
+
+def _carried(blocks: Iterator[pa.RecordBatch], width: int, base: float, trees: list) -> Iterator[pa.RecordBatch]:
+    for bins, y, score in _unpacked(blocks, width, base, trees):
+        yield _block(y.tobytes(), pa.compress(bins.tobytes(), "lz4", asbytes=True), score.tobytes())
+
+
+def _tallied(blocks: Iterator[pa.RecordBatch], width: int, base: float, trees: list, at: tuple) -> Iterator[pa.RecordBatch]:
+    total = None
+    for bins, y, score in _unpacked(blocks, width, base, trees):
+        part = _sums(bins, y, 1.0, score, *at).astype(np.int64)
+        total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def _in_tasks(blocks: DataFrame, width: int, base: float) -> Sums:
+    carried = 0
+
+    def sums(trees: list, *at) -> np.ndarray:
+        nonlocal blocks, carried
+        if len(trees) - carried >= CARRY:
+            more = trees[carried:]
+            blocks, carried = cut(blocks.mapInArrow(lambda it: _carried(it, width, base, more), BLOCKS)), len(trees)
+        more = trees[carried:]
+        parts = blocks.mapInArrow(lambda it: _tallied(it, width, base, more, at), "sums binary").toArrow().column(0).to_pylist()
+        return np.sum([np.frombuffer(p, np.int64) for p in parts], 0).reshape(2, len(at[3]), 2 ** at[2], -1)
+
+    return sums
+
+
+def fit_slices(slices: DataFrame, rounds: int = 60, bins: int = 32, **settings) -> BoostedTrees:
+    """`fit` on all rows of a table of SLICES, without a bound on their number; the same model as `fit` on these rows.
+
+    The driver gets sums by bin and quantiles; a task holds one block at a time. Up to DRIVER_ROWS rows are fit on the driver.
+    """
+    slices = cut(slices)
+    tasks = slices.sparkSession.sparkContext.defaultParallelism
+    values = slices.mapInArrow(_counted, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    values = cut(values.repartitionByRange(tasks, "feature", "value").withColumn("part", F.spark_partition_id()))
+    width = values.agg(F.max("feature")).first()[0]  # the label is the last column
+    if width is None:
+        return fit(np.zeros((0, 1)), np.zeros(0))
+    of = {r.value: r.n for r in values.filter(F.col("feature") == width).collect()}
+    n, positive = sum(of.values()), of.get(1.0, 0)
+    base, cuts = _base(positive / n), _quantile_cuts(values, n, width, bins)
+    blocks = slices.coalesce(max(tasks, n // TASK_ROWS + 1)).mapInArrow(lambda it: _blocked(it, cuts), BLOCKS)
+    if n > DRIVER_ROWS:
+        sums = _in_tasks(cut(blocks), width, base)
+    else:
+        parts = list(_unpacked(blocks.toArrow().to_batches(), width, base, []))
+        sums = _in_memory(np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts]), 1.0, base)
+    return _grow(sums, cuts, base, rounds if 0 < positive < n else 0, **settings)

@@ -5,9 +5,9 @@ with visible text. Gradient-boosted trees score every node from its own features
 its subtree, its siblings and its parent. Decoding is hierarchical: a node's score is its own
 log-odds plus the gains of its children, and a line is kept only if all its ancestors are.
 
-The classifier is fit on a bounded sample: the SAMPLE_PAGES pages with the smallest hash of
-page_id, at most SAMPLE_NODES nodes; which lines repeat is judged by EVIDENCE_PAGES pages. Labels are distant: headings, facts of ground_truth and
-prose in the heading's block against repeated lines, link lists and other blocks.
+The classifier is fit on every labelled node of all pages, and all pages tell which lines repeat. Labels are
+distant: headings, facts of ground_truth and prose in the heading's block against repeated lines, link lists and
+other blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblore.llm.boosted_trees import BoostedTrees, fit
+from weblore.llm.boosted_trees import SLICES, BoostedTrees, fit_slices, packed
 from weblore.llm.pagelines import body_lines, heading, visible, words
-from weblore.llm.repeated_lines import repeated_lines
+from weblore.llm.repeated_lines import MOST_WORDINGS, frequent_wordings, line_hashes, meet_wordings, tokens_hash
 from weblore.session import cut
 
-SAMPLE_PAGES, SAMPLE_NODES, EVIDENCE_PAGES = 1500, 60_000, 10_000
 PAGES_PER_SLICE = 256
 CONTAINERS = frozenset("div header aside footer main table section ul ol nav dl article form".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)(?:>|$)")
@@ -237,44 +236,45 @@ def labels(page: str, texts: list[str], c: dict[str, np.ndarray], repeated: set[
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[str | None, frozenset[int]] = {}
     for batch in batches:
-        for page_id, page, truth, repeated in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if not page:
-                continue
-            out, texts = _read([(page_id, page)])
+        rows = []
+        for page, truth, template, frequent in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            if template not in sets:
+                sets[template] = frozenset(frequent.as_py() or ())
+            if page:
+                rows.append((page, truth, sets[template]))
+        for at in range(0, len(rows), PAGES_PER_SLICE):
+            part = rows[at : at + PAGES_PER_SLICE]
+            out, texts = _read([(k, page) for k, (page, _, _) in enumerate(part)])
             x, c = features(out)
-            y = labels(page, texts, c, set(repeated or ()), truth)
-            keep = y >= 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([page_id] * int(keep.sum()), pa.int64()), pa.array(y[keep].astype(np.int32)), pa.array(list(x[keep]), pa.list_(pa.float64()))], names=["page_id", "y", "x"]
-            )
+            ends = np.searchsorted(c["page"], np.arange(len(part) + 1))
+            y = np.full(len(x), -1)
+            for (page, truth, known), a, b in zip(part, ends, ends[1:]):
+                own, title = {k: v[a:b] for k, v in c.items()}, words(heading(page))
+                repeated = {int(n) for n, text in zip(own["line"], texts[a:b]) if text and tokens_hash(words(text), title) in known} if known else set()
+                y[a:b] = labels(page, texts[a:b], own, repeated, truth)
+            for n, codes, vals in packed(x[y >= 0], y[y >= 0]):
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([codes], pa.binary()), pa.array([vals], pa.list_(pa.list_(pa.float64())))], names=["n", "codes", "vals"])
 
 
 def training_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, y, x) of labelled nodes of the sample pages. pages: page_id, template, html, ground_truth.
+    """The labelled nodes of all pages as SLICES. pages: page_id, template, html, ground_truth.
 
-    The evidence of repeated lines comes from the pages with the EVIDENCE_PAGES smallest hashes, of which the sample
-    pages are the first; so html outside of them is read for the classification alone.
+    Rows that repeat a page count once, different versions of a page all count; only pages that come several times are shuffled.
     """
-    order = (F.xxhash64("page_id"), "page_id")
-    near = cut(pages.select("page_id").distinct().orderBy(*order).limit(EVIDENCE_PAGES))
-    sample = near.orderBy(*order).limit(SAMPLE_PAGES)
-    known = cut(pages.select("page_id", "template", "html", "ground_truth").join(F.broadcast(near), "page_id"))
-    repeated = repeated_lines(known).join(F.broadcast(sample), "page_id").groupBy("page_id").agg(F.collect_list("line_no").alias("repeated"))
-    chosen = known.select("page_id", "html", "ground_truth").join(F.broadcast(sample), "page_id").dropDuplicates(["page_id"])
-    rows = chosen.join(repeated, "page_id", "left").mapInArrow(_labelled, "page_id long, y int, x array<double>")
-    return rows.orderBy(*order, "y", F.xxhash64("x")).limit(SAMPLE_NODES)  # the same nodes whatever the order of arrival
+    pages = pages.select("page_id", "html", "ground_truth", "template")
+    frequent = cut(frequent_wordings(cut(line_hashes(pages)), pages))
+    several = cut(pages.groupBy("page_id").count().filter("count > 1").select(F.col("page_id").alias("p")))
+    several = F.broadcast(several) if several.count() <= MOST_WORDINGS else several
+    again = F.col("page_id").eqNullSafe(F.col("p"))
+    one = pages.join(several, again, "left_anti").unionByName(pages.join(several, again, "left_semi").dropDuplicates())
+    return meet_wordings(one, frequent).select("html", "ground_truth", "template", "frequent").mapInArrow(_labelled, SLICES)
 
 
 def train(pages: DataFrame) -> BoostedTrees:
-    """The classifier, fit on the driver on at most SAMPLE_NODES labelled nodes."""
-    rows = training_rows(pages).toArrow()
-    if not rows.num_rows:
-        return fit(np.zeros((0, 1)), np.zeros(0))
-    x = np.array(rows.column("x").to_pylist())
-    y = rows.column("y").to_numpy().astype(float)
-    order = np.lexsort((*x.T, y, rows.column("page_id").to_numpy()))  # the same model whatever the order of arrival
-    return fit(x[order], y[order])
+    """The classifier, fit on the labelled nodes of all pages; the same whatever the order of arrival."""
+    return fit_slices(training_rows(pages))
 
 
 def main_lines(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:

@@ -41,7 +41,12 @@ def _without(tokens: list[str], title: list[str]) -> list[str]:
 
 def wording_hash(line: str, title: list[str], min_words: int = MIN_WORDS) -> int | None:
     """Signed hash of a line's wording, None if fewer than min_words words remain."""
-    tokens = _without(words(visible(line)), title)
+    return tokens_hash(words(visible(line)), title, min_words)
+
+
+def tokens_hash(tokens: list[str], title: list[str], min_words: int = MIN_WORDS) -> int | None:
+    """`wording_hash` of the words of a line."""
+    tokens = _without(tokens, title)
     return xxhash.xxh64_intdigest(" ".join(tokens)) - (1 << 63) if len(tokens) >= min_words else None
 
 
@@ -130,22 +135,28 @@ def _drop_lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["page_id", "html", "n_removed"])
 
 
+def meet_wordings(pages: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Pages with `frequent`, the sorted frequent wordings of their template, null without any; `frequent` is read twice.
+
+    Up to MOST_WORDINGS are broadcast by source, more meet the pages by a salted join.
+    """
+    by_source = frequent.groupBy(F.col("template").alias("t")).agg(F.sort_array(F.collect_set("wording")).alias("frequent"))  # a source has at most its lines a page / min_share
+    source = F.col("template").eqNullSafe(F.col("t"))
+    if frequent.count() <= MOST_WORDINGS:
+        return pages.join(F.broadcast(by_source), source, "left").drop("t")
+    spread = by_source.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.join(spread, source & (F.pmod("page_id", F.lit(SALTS)) == F.col("s")), "left").drop("t", "s")
+
+
 def remove_repeated_lines(pages: DataFrame, min_words: int = MIN_WORDS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Each page once, rebuilt without its repeated lines: (page_id, html, n_removed).
 
     A page without repeated lines comes out as it is; a null page stays null. Every version of a page loses
-    its own lines; of several versions of a page_id the largest rebuilt text is kept. Up to MOST_WORDINGS frequent
-    wordings are broadcast by source, more meet the pages by a salted join.
+    its own lines; of several versions of a page_id the largest rebuilt text is kept.
     """
     pages = pages.select("page_id", "template", "html")
     frequent = cut(frequent_wordings(cut(line_hashes(pages, min_words)), pages, min_pages, min_share))
-    by_source = frequent.groupBy(F.col("template").alias("t")).agg(F.sort_array(F.collect_set("wording")).alias("frequent"))  # a source has at most its lines a page / min_share
-    source = F.col("template").eqNullSafe(F.col("t"))
-    if frequent.count() <= MOST_WORDINGS:
-        met = pages.join(F.broadcast(by_source), source, "left")
-    else:
-        spread = by_source.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = pages.join(spread, source & (F.pmod("page_id", F.lit(SALTS)) == F.col("s")), "left")
+    met = meet_wordings(pages, frequent)
     rebuilt = lambda rows: rows.select("page_id", "html", "template", "frequent").mapInArrow(lambda it: _drop_lines(it, min_words), "page_id long, html string, n_removed long")
     # only the pages that come several times are shuffled
     several = cut(pages.groupBy("page_id").count().filter("count > 1").select(F.col("page_id").alias("p")))

@@ -52,3 +52,19 @@ def test_lines_repeated_on_any_page_are_furniture(spark):
     df = spark.createDataFrame(rows, "page_id long, template string, html string, ground_truth string")
     found = main_content.main_lines(df).groupBy("line_no").count().collect()
     assert {r.line_no: r["count"] for r in found} == {3: 11200}
+
+
+def test_stored_trees_have_the_nodes_of_the_pages(spark):
+    """Every page once, with the features that its html gives; a page without id keeps its lines."""
+    df = pages(spark, 5)
+    other = df.filter("page_id = 12").withColumn("html", F.concat("html", F.lit("\n<p>More</p>")))
+    df = df.unionByName(other).unionByName(df.filter("page_id = 13").withColumn("page_id", F.lit(None).cast("long")))
+    trees = main_content.page_trees(df)
+    stored = sorted(trees.collect(), key=lambda r: (r.page_id is None, r.page_id, len(r.nodes)))
+    assert [r.page_id for r in stored] == [3, 10, 11, 12, 12, 13, 14, None]
+    got = main_content.features(main_content._unpacked([r.nodes for r in stored if r.page_id in (10, 11)])[0])[0]
+    html = {r.page_id: r.html for r in df.filter("page_id in (10, 11)").collect()}
+    assert np.array_equal(got, main_content.features(main_content._read(sorted(html.items()))[0])[0])
+    assert all(len(r.hashed) == len(r.wordings) == 2 for r in stored if r.page_id == 10)
+    found = {(r.page_id, r.line_no) for r in main_content.main_lines(df).collect()}
+    assert {n for i, n in found if i is None} == {n for i, n in found if i == 13} != set()

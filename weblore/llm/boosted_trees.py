@@ -2,17 +2,26 @@
 
 A level of a tree needs only sums of gradients by (feature, node, bin): tasks add them up over their blocks of rows
 and rows never leave the tasks (`fit_slices`). Gradients are whole multiples of 1 / SCALE, so sums and model are the same however the
-rows are spread. A model is a few KB of arrays that travels with the task closure and scores whole batches.
+rows are spread. All trees grow in one barrier stage: its tasks exchange sums after each level and grow the same trees.
+A model is a few KB of arrays that travels with the task closure and scores whole batches.
 """
 
 from __future__ import annotations
 
+import os
+import pickle
+import secrets
+import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from multiprocessing import AuthenticationError
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weblore.session import cut
@@ -20,8 +29,8 @@ from weblore.session import cut
 SCALE, NONE = 1 << 24, 255  # gradients are multiples of 1 / SCALE; NONE: no split
 SLICE_ROWS, BLOCK_ROWS = 1 << 15, 1 << 15
 CELLS = 1 << 11  # bins that are counted at once: several features with few bins share one pass over the rows
-CARRY = 10  # trees after which the scores are stored with the rows
-TASK_ROWS = 1 << 23  # rows of a task at most where the slices have as many partitions; each task sends 70 KB of sums a level
+CARRY = 10  # trees after which the scores are stored with the rows, where each level is a job of its own
+TASK_ROWS = 1 << 23  # rows of a task at most there, if the slices have as many partitions; each task sends 70 KB of sums a level
 DRIVER_ROWS = 400_000  # rows of bins (14 MB) that the driver may hold; more are summed in tasks, with the same result
 SLICES, BLOCKS = "n int, codes binary, vals array<array<double>>", "y binary, bins binary, score binary"
 Sums = Callable[[list, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
@@ -38,14 +47,11 @@ class BoostedTrees:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of the positive class for each row."""
-        out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for f, t, v in zip(self.features, self.thresholds, self.leaves):
-            at = np.zeros(len(x), np.int64)
-            while len(at) and at[0] < len(f):  # all rows stand on one level
-                at = 2 * at + 1 + (x[rows, f[at]] > t[at])
-            out += v[at - len(f)]
-        return out
+        finite = np.isfinite(self.thresholds)
+        cuts = [np.unique(self.thresholds[finite & (self.features == j)]) for j in range(x.shape[1])]
+        bins = np.stack([np.searchsorted(c, x[:, j], "left") if len(c) else np.zeros(len(x), np.int64) for j, c in enumerate(cuts)]).astype(np.uint8)
+        splits = [[np.searchsorted(cuts[j], t) if np.isfinite(t) else NONE for j, t in zip(f, ts)] for f, ts in zip(self.features, self.thresholds)]
+        return _scored(bins, np.full(len(x), self.base), [(f, np.array(k, np.uint8), v) for f, k, v in zip(self.features, splits, self.leaves)])
 
 
 def _nodes(bins: np.ndarray, feature: np.ndarray, split: np.ndarray, levels: int) -> np.ndarray:
@@ -67,27 +73,68 @@ def _scored(bins: np.ndarray, score: np.ndarray, trees: list) -> np.ndarray:
     return score
 
 
-def _sums(bins: np.ndarray, y: np.ndarray, w: np.ndarray | float, score: np.ndarray, feature: np.ndarray, split: np.ndarray, level: int, used: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Gradients and hessians in 1 / SCALE by (used feature, node of the level, bin). sizes: bins of the used features."""
+def _gradients(y: np.ndarray, score: np.ndarray, w: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians in 1 / SCALE; without weights whole numbers up to 2^24, exact as float32."""
     p = 1 / (1 + np.exp(-score))
-    grad, hess = np.rint((p - y) * SCALE) * w, np.rint(p * (1 - p) * SCALE) * w
-    at = _nodes(bins, feature, split, level).astype(np.int64)
-    out = np.zeros((2, len(used), 2**level, sizes.max()))
-    first = 0
-    while first < len(used):
-        last, cells, code = first, 1, np.zeros(len(at), np.uint16)
-        while last < len(used) and (last == first or cells * sizes[last] <= CELLS):
-            code = code * np.uint16(sizes[last]) + bins[used[last]]
-            cells, last = cells * int(sizes[last]), last + 1
-        cell = at * cells + code
-        for o, v in zip(out, (grad, hess)):
-            table = np.bincount(cell, v, 2**level * cells).reshape(2**level, *sizes[first:last])
-            for k in range(first, last):
-                o[k, :, : sizes[k]] = table.sum(tuple(i for i in range(1, table.ndim) if i != k - first + 1))
-        first = last
+    return np.rint((p - y) * SCALE) * w, np.rint(p * (1 - p) * SCALE) * w
+
+
+def _groups(sizes: np.ndarray) -> list[tuple[list[int], int]]:
+    """Features that are counted together, and the number of their joint bins."""
+    groups: list[tuple[list[int], int]] = []
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        i = next((i for i, (_, cells) in enumerate(groups) if cells * sizes[k] <= CELLS), len(groups))
+        own, cells = groups[i] if i < len(groups) else ([], 1)
+        groups[i : i + 1] = [([*own, k], cells * int(sizes[k]))]
+    return groups
+
+
+def _sums(rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], feature: np.ndarray, split: np.ndarray, level: int, used: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Gradients and hessians by (used feature, node of the level, bin). rows: blocks of bins, gradients, hessians; sizes: bins of the used features.
+
+    Whole numbers are summed exactly up to 2^29 rows.
+    """
+    groups, nodes = _groups(sizes), 2**level
+    tables = [np.zeros((2, nodes * cells)) for _, cells in groups]
+    for bins, grad, hess in rows:
+        at = _nodes(bins, feature, split, level).astype(np.intp)
+        for (own, cells), table in zip(groups, tables):
+            code = np.zeros(len(at), np.uint16)
+            for k in own:
+                code *= np.uint16(sizes[k])
+                code += bins[used[k]]
+            cell = at * cells + code
+            table[0] += np.bincount(cell, grad, nodes * cells)
+            table[1] += np.bincount(cell, hess, nodes * cells)
+    out = np.zeros((2, len(used), nodes, sizes.max()))
+    for (own, _), table in zip(groups, tables):
+        table = table.reshape(2, nodes, *sizes[own])
+        for i, k in enumerate(own):
+            out[:, k, :, : sizes[k]] = table.sum(tuple(2 + j for j in range(len(own)) if j != i))
     return out
 
 
+class _Held:
+    """Blocks of rows (bins, y, weights, and to be filled: score, gradients, hessians) whose scores follow the trees."""
+
+    def __init__(self, blocks: list[tuple], base: float) -> None:
+        self.blocks, self.done = blocks, 0
+        for block in blocks:
+            block[3][:] = base
+        self._follow([])
+
+    def _follow(self, trees: list) -> None:
+        for bins, y, w, score, grad, hess in self.blocks:
+            score[:] = _scored(bins, score, trees[self.done :])
+            grad[:], hess[:] = _gradients(y, score, w)
+        self.done = len(trees)
+
+    def sums(self, trees: list, *at) -> np.ndarray:
+        if len(trees) > self.done:
+            self._follow(trees)
+        return _sums(((bins, grad, hess) for bins, _, _, _, grad, hess in self.blocks), *at)
+
+
 def _base(share: float) -> float:
     share = float(np.clip(share, 1e-3, 1 - 1e-3))
     return float(np.log(share / (1 - share)))
@@ -124,14 +171,9 @@ def _grow(sums: Sums, cuts: list[np.ndarray], base: float, rounds: int = 60, dep
 
 
 def _in_memory(bins: np.ndarray, y: np.ndarray, w: np.ndarray | float, base: float) -> Sums:
-    score, done = np.full(len(y), base), 0
-
-    def sums(trees: list, *at) -> np.ndarray:
-        nonlocal score, done
-        score, done = _scored(bins, score, trees[done:]), len(trees)
-        return _sums(bins, y, w, score, *at)
-
-    return sums
+    score, grad, hess = np.empty((3, len(y)))
+    parts = [slice(a, a + BLOCK_ROWS) for a in range(0, len(y), BLOCK_ROWS)]
+    return _Held([(bins[:, p], y[p], w[p] if isinstance(w, np.ndarray) else w, score[p], grad[p], hess[p]) for p in parts], base).sums
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, bins: int = 32, weights: np.ndarray | None = None, **settings) -> BoostedTrees:
@@ -238,13 +280,14 @@ def _carried(blocks: Iterator[pa.RecordBatch], width: int, base: float, trees: l
 def _tallied(blocks: Iterator[pa.RecordBatch], width: int, base: float, trees: list, at: tuple) -> Iterator[pa.RecordBatch]:
     total = None
     for bins, y, score in _unpacked(blocks, width, base, trees):
-        part = _sums(bins, y, 1.0, score, *at).astype(np.int64)
+        part = _sums(iter([(bins, *_gradients(y, score))]), *at).astype(np.int64)
         total = part if total is None else total + part
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
 def _in_tasks(blocks: DataFrame, width: int, base: float) -> Sums:
+    """Sums of all tasks, a job for each level."""
     carried = 0
 
     def sums(trees: list, *at) -> np.ndarray:
@@ -259,10 +302,80 @@ def _in_tasks(blocks: DataFrame, width: int, base: float) -> Sums:
     return sums
 
 
+def _in_files(blocks: Iterator[pa.RecordBatch], width: int, folder: str) -> list[tuple]:
+    """Blocks for `_Held` in files of the folder (51 bytes a row), so that a task's memory doesn't grow with its rows."""
+    names = [os.path.join(folder, name) for name in ("bins", "y", "score", "grad", "hess")]
+    ends = [0]
+    with open(names[0], "wb") as bins_file, open(names[1], "wb") as y_file:
+        for bins, y, _ in _unpacked(blocks, width, 0.0, []):
+            bins_file.write(bins.tobytes())
+            y_file.write(y.tobytes())
+            ends.append(ends[-1] + len(y))
+    n = ends[-1]
+    if not n:
+        return []
+    bins, y = (np.memmap(name, np.uint8, "r") for name in names[:2])
+    score, grad, hess = (np.memmap(name, kind, "w+", shape=n) for name, kind in zip(names[2:], (np.float64, np.float32, np.float32)))
+    return [(bins[a * width : b * width].reshape(width, -1), y[a:b], 1.0, score[a:b], grad[a:b], hess[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def _peers(context: BarrierTaskContext, key: bytes, stack: ExitStack) -> list[Connection]:
+    """Connections of the first task with all others, of another with the first. A lost task ends them and so the stage, which Spark runs again."""
+    host = context.getTaskInfos()[0].address.rpartition(":")[0]
+    others = len(context.getTaskInfos()) - 1
+    if context.partitionId():
+        port = int(context.allGather("")[0])  # takes Spark a second: done once
+        return [stack.enter_context(Client((host, port), authkey=key))]
+    listener = stack.enter_context(Listener((host, 0), backlog=others + 1, authkey=key))
+    context.allGather(str(listener.address[1]))
+    peers: list[Connection] = []
+    while len(peers) < others:
+        try:
+            peers.append(stack.enter_context(listener.accept()))
+        except (AuthenticationError, EOFError, ConnectionError):  # not one of the tasks: those have the key
+            pass
+    return peers
+
+
+def _shared(own: np.ndarray, peers: list[Connection], first: bool) -> np.ndarray:
+    """The sum of all tasks' arrays: the first one adds them up and sends the total back."""
+    pack = lambda a: pa.compress(a.tobytes(), "zstd", asbytes=True)
+    unpack = lambda x: np.frombuffer(pa.decompress(x, own.nbytes, "zstd", asbytes=True), own.dtype).reshape(own.shape)
+    if not first:
+        peers[0].send_bytes(pack(own))
+        return unpack(peers[0].recv_bytes())
+    total = sum((unpack(peer.recv_bytes()) for peer in peers), own)
+    message = pack(total)
+    for peer in peers:
+        peer.send_bytes(message)
+    return total
+
+
+def _grown(blocks: Iterator[pa.RecordBatch], width: int, base: float, key: bytes, grow: Callable[[Sums], BoostedTrees]) -> Iterator[pa.RecordBatch]:
+    """The model, from the first of the tasks that grow it together."""
+    context = BarrierTaskContext.get()
+    first = context.partitionId() == 0
+    with ExitStack() as stack:
+        folder = stack.enter_context(tempfile.TemporaryDirectory(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None))
+        held, peers = _Held(_in_files(blocks, width, folder), base), _peers(context, key, stack)
+        model = grow(lambda trees, *at: _shared(held.sums(trees, *at).astype(np.int64), peers, first))
+    if first:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that can run at once, 0 where tasks can't wait for each other (a cluster whose executors come and go)."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getConf().getBoolean("spark.dynamicAllocation.enabled", False):
+        return 0
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
 def fit_slices(slices: DataFrame, rounds: int = 60, bins: int = 32, **settings) -> BoostedTrees:
     """`fit` on all rows of a table of SLICES, without a bound on their number; the same model as `fit` on these rows.
 
-    The driver gets sums by bin and quantiles; a task holds one block at a time. Up to DRIVER_ROWS rows are fit on the driver.
+    The driver gets sums by bin and quantiles; a task holds one block at a time. Up to DRIVER_ROWS rows are fit on the driver,
+    more in one barrier stage, or by a job for each level where there can be none.
     """
     slices = cut(slices)
     tasks = slices.sparkSession.sparkContext.defaultParallelism
@@ -274,10 +387,16 @@ def fit_slices(slices: DataFrame, rounds: int = 60, bins: int = 32, **settings)
     of = {r.value: r.n for r in values.filter(F.col("feature") == width).collect()}
     n, positive = sum(of.values()), of.get(1.0, 0)
     base, cuts = _base(positive / n), _quantile_cuts(values, n, width, bins)
-    blocks = slices.coalesce(max(tasks, n // TASK_ROWS + 1)).mapInArrow(lambda it: _blocked(it, cuts), BLOCKS)
-    if n > DRIVER_ROWS:
-        sums = _in_tasks(cut(blocks), width, base)
-    else:
-        parts = list(_unpacked(blocks.toArrow().to_batches(), width, base, []))
-        sums = _in_memory(np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts]), 1.0, base)
-    return _grow(sums, cuts, base, rounds if 0 < positive < n else 0, **settings)
+    rounds = rounds if 0 < positive < n else 0
+    grow = lambda sums: _grow(sums, cuts, base, rounds, **settings)
+    blocks = lambda parts: slices.coalesce(parts).mapInArrow(lambda it: _blocked(it, cuts), BLOCKS)
+    if not rounds:
+        return grow(None)
+    if n <= DRIVER_ROWS:
+        parts = list(_unpacked(blocks(tasks).toArrow().to_batches(), width, base, []))
+        return grow(_in_memory(np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts]), 1.0, base))
+    if slots := _slots(slices.sparkSession):
+        held, key = cut(blocks(min(slots, n // BLOCK_ROWS + 1))), secrets.token_bytes(32)
+        models = held.mapInArrow(lambda it: _grown(it, width, base, key, grow), "model binary", barrier=True)
+        return pickle.loads(models.repartition(1).collect()[0].model)  # Spark starts a barrier stage again only before a shuffle
+    return grow(_in_tasks(cut(blocks(max(tasks, n // TASK_ROWS + 1))), width, base))

@@ -3,11 +3,12 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weblore.operators import classify, crowd, graph, kb, layout, nested, seeds, similarity, topic, xpath_rules
-from weblore.plans import nested_queries
+from weblore.plans import nested_queries, stage_queries
 from weblore.sources import html_nodes, loaders, stage_store
 from weblore.streaming import page_stream
 
@@ -191,6 +192,46 @@ def test_rules(spark):
     assert best[1:3] == (1.0, 1.0) and "class" in best[0]
 
 
+def test_rules_of_all_templates(spark):
+    rows = [
+        ("exact", "<html><body id='*'><div class='a'><h1>{n}</h1></div><div class='a'><b>x</b></div></body></html>"), ("exact", "<p>no heading {n}</p><h2 class='a'>y</h2>"),
+        ("twice", "<div><h1 class='k'>{n}</h1><h1>Same</h1></div><h1 class='k'>x</h1>"), ("twice", "<div id='{n}'><h1 class='k'>Same</h1></div>"),
+        ("twice", "<div><div><i>1</i></div><h1 class='k'>x</h1></div>"), ("rest", "<div class='b'><section><h1 id='t'>Same</h1></section></div><section><h1>{n}</h1></section>"),
+        ("rest", "<section class='c'><b id='t'>Same</b></section>"), ("rest", "<section id='t'>cut off"),
+        (None, "<ul><li>a<li><h1>{n}"), (None, "text only"), (None, ""), (None, None), ("none", "<p>a</p>"),
+        ("many", "<div><h1>{n}</h1><h1>{n}</h1></div>")]
+    pages = spark.createDataFrame([(i, t, html and html.format(n=i)) for i, (t, html) in enumerate(rows * 3)], "page_id long, template string, html string")
+    found = {r.template: tuple(r)[1:] for r in xpath_rules.best_paths(pages, "h1").collect()}
+    expected = {}
+    for t in {t for t, _ in rows}:
+        nodes = html_nodes.nodes(pages.filter(F.col("template").eqNullSafe(F.lit(t))))
+        for best in xpath_rules.induce(nodes, nodes.filter("tag = 'h1'").groupBy("page_id").agg(F.min("ord").alias("ord")))[:1]:
+            expected[t] = best
+    assert found == expected and set(found) == {"exact", "twice", "rest", "many", None}
+    assert found["twice"][1] == 1.0 and "div/" in found["twice"][0] and found["many"][1] == 0.5
+
+
+def test_rule_counts_do_not_depend_on_batches(monkeypatch):
+    rows = [([1, 2, 0, 7, 1, 1], 3), ([], 2), ([5, 1, 0, 6, 4, 0], 1), ([7, 1, 1], 9)]
+    rules = np.array(xpath_rules._rules(3, 3), np.int64)
+    whole = [c.tolist() for c in xpath_rules._count(rows, rules)]
+    assert whole[3][0] == 15 and [c[-1] for c in whole] == [12, 12, 12, 12, 1] and [c[1] for c in whole] == [3 * 3 + 1 + 9, 12, 12, 13, 3]
+    monkeypatch.setattr(xpath_rules, "CHUNK", 1)
+    assert [c.tolist() for c in xpath_rules._count(rows, rules)] == whole
+
+
+def test_rules_need_no_job_for_a_template(spark, tmp_path):
+    def jobs(templates: int) -> int:
+        rows = [(i, f"t{i}", f"<body><h1>{i}</h1><p>x</p></body>") for i in range(templates)]
+        spark.createDataFrame(rows, "page_id long, template string, html string").coalesce(1).write.parquet(f"{tmp_path}/{templates}/webpage.parquet")
+        spark.sparkContext.setJobGroup(f"rules-{templates}", "")
+        assert stage_queries.xpath_rule_scores(spark, f"{tmp_path}/{templates}").count() == templates
+        spark.sparkContext.setJobGroup("other", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rules-{templates}"))
+
+    assert jobs(6) <= jobs(2) + 2
+
+
 def test_loaders(spark, tmp_path):
     (tmp_path / "movie-imdb").mkdir()
     for n in range(3):

@@ -381,14 +381,8 @@ def missed_objects(spark, folder):
 
 
 def xpath_rule_scores(spark, folder):
-    """The best path to the heading of each template's pages: one induction per template, three levels."""
-    nodes = cut(html_nodes.nodes(pages(spark, folder, "html", "template")).join(pages(spark, folder, "template"), "page_id"))
-    out = []
-    for row in nodes.select("template").distinct().orderBy("template").collect():  # one row per template
-        own = nodes.filter(F.col("template").eqNullSafe(F.lit(row.template)))
-        targets = own.filter("tag = 'h1'").groupBy("page_id").agg(F.min("ord").alias("ord"))
-        out += [(row.template, p, float(x), float(y), float(z)) for p, x, y, z in xpath_rules.induce(own, targets, deepest=3)[:1]]
-    return spark.createDataFrame(out, "template string, xpath string, precision double, recall double, support double")
+    """The best path to the heading of each template's pages: all templates in the same jobs, three levels."""
+    return xpath_rules.best_paths(pages(spark, folder, "html", "template").filter("page_id is not null"), "h1", deepest=3).orderBy("template")
 
 
 def events_by_hour(spark, folder):

@@ -24,7 +24,7 @@ NODES = (
 )
 
 
-class _Tree(HTMLParser):
+class Tree(HTMLParser):
     """Elements in document order with their own leading text and tails. Comments vanish."""
 
     def __init__(self) -> None:
@@ -79,11 +79,16 @@ class _Tree(HTMLParser):
             (self.texts[self.stack[-1]] if self.last[-1] < 0 else self.tails[self.last[-1]]).append(data)
 
 
-def parse(page: str) -> list[dict]:
-    """Nodes of a page in document order; siblings of one tag get an index only if there are several."""
-    tree = _Tree()
+def read_tree(page: str) -> Tree:
+    tree = Tree()
     tree.feed(page)
     tree.close()
+    return tree
+
+
+def parse(page: str) -> list[dict]:
+    """Nodes of a page in document order; siblings of one tag get an index only if there are several."""
+    tree = read_tree(page)
     n, out = len(tree.tags), []
     paths, ancestors, depths = [""] * n, [[] for _ in range(n)], [0] * n
     roots = [i for i in range(n) if tree.parents[i] < 0]
